@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelake.llm import mixing, packing, quality, sharding, simhash, urls
+from routelake.llm import mixing, packing, quality, sharding, simhash, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -44,5 +49,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_sharding": op4_sharding, "op6_simhash": op6_simhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op10_quality": op10_quality}
+QUERIES = {"op2_mixing": op2_mixing, "op3_substrings": op3_substrings, "op4_sharding": op4_sharding, "op6_simhash": op6_simhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
