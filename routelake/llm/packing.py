@@ -15,6 +15,7 @@ repeated rows are packed each by itself; an empty table gives no rows; other col
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,29 +25,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, END_ID, GROUP, PART = 2048, 1, 512, 256
-CACHED_WORDS = 200_000
+CACHED_WORDS = 1_000_000
+#: Characters of text that end a group early.
+HELD = 8_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _tokenizers: dict = {}
 
 
+#: A text without such characters gives the same pieces in lower case: its letters are composed and have one lower-case letter each.
+_ODD = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: The end of a word before closing marks; a piece never holds letters or digits and marks, but for 's and its like, which don't end in a mark.
+_MARKS = re.compile("(?<=[a-z0-9\xdf-\xf6\xf8-\xff])(?=[!-/:-@\\[-`{-~]+(?:[ \n]|$))")
+
+
 class WordIds(dict):
     """Ids of white-space separated words as little-endian bytes. The vocabulary's pieces never cross white space, so a text's ids are its words' ids in turn; only a cache of words is kept."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.ends[[i for word, i in tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, new: list[str]) -> None:
+        """Words of letters alone are one piece each, so a whole list is encoded at once and cut after each piece's last id."""
+        plain = [w for w in new if w.isalpha() and not _ODD.search(w)]
+        for lo in range(0, len(plain), 2000):
+            part = plain[lo : lo + 2000]
+            ids = self.ids(" ".join(part))
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            if len(cuts) == len(part):
+                self.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+        for word in new:
+            if word not in self:
+                self[word] = self.ids(word).tobytes()
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        words, ends = [], []
+        for t in texts:
+            if not _ODD.search(t) and "<|" not in t:  # a special token may begin so
+                t = _MARKS.sub(" ", t.lower())
+            words += t.replace("\n", " ").split(" ")
+            ends.append(len(words))
+        ids = list(map(self.get, words))
+        new = [k for k, x in enumerate(ids) if x is None]
+        if len(self) + len(new) > CACHED_WORDS:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        self.learn(list({words[k] for k in new}))
+        for k in new:
+            ids[k] = self[words[k]]
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def tokenizer_at(path: str) -> WordIds:
@@ -151,19 +185,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
         words, n = tokenizer_at(tokenizer), TaskContext.get().partitionId() << 40
         ids: list = []
-        tokens: list = []
+        texts: list[str] = []
+        held = 0
 
         def flush():
-            nonlocal n, ids, tokens
-            out, ways = packed_group(ids, tokens, n, capacity, part)
-            n, ids, tokens = n + ways, [], []
+            nonlocal n, ids, texts, held
+            out, ways = packed_group(ids, [x + closing for x in words.of(texts)], n, capacity, part)
+            n, ids, texts, held = n + ways, [], [], 0
             return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(doc)
-                tokens.append(words.of(text.as_py() or "") + closing)
-                if len(ids) >= group:
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                if len(ids) >= group or held >= HELD:
                     yield flush()
         if ids:
             yield flush()
