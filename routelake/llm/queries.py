@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelake.llm import mixing, packing, quality, sharding, simhash, substrings, urls
+from routelake.llm import chat, embeddings, mixing, packing, quality, sharding, simhash, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -45,9 +49,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_substrings": op3_substrings, "op4_sharding": op4_sharding, "op6_simhash": op6_simhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op10_quality": op10_quality}
+QUERIES = {"op2_mixing": op2_mixing, "op3_substrings": op3_substrings, "op4_sharding": op4_sharding, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_chat": op9_chat, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
