@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelake.llm import chat, embeddings, mixing, packing, quality, sharding, simhash, substrings, urls
+from routelake.llm import chat, embeddings, mixing, packing, quality, sharding, simhash, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).withColumn("held_out", ~toxicity.in_training(F.col("doc_id")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -57,5 +63,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_substrings": op3_substrings, "op4_sharding": op4_sharding, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_chat": op9_chat, "op10_quality": op10_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_substrings": op3_substrings, "op4_sharding": op4_sharding, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_chat": op9_chat, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
