@@ -77,14 +77,15 @@ def fingerprints(texts: list, shingle: int = SHINGLE, seed: int = SEED) -> np.nd
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash): the fingerprint as a signed long, and a hash of the text that tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = fingerprints(batch.column(1).to_pylist(), shingle, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -185,13 +186,31 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return met.mapInArrow(meet, "a long, b long")
 
 
+def classified(marked: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, component): the least fingerprint that each distinct one of marked reaches."""
+    classes = written(marked.select("fp").distinct())
+    found = components(fingerprint_links(classes, bits))
+    return classes.join(found, classes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id) of each row of docs (doc_id, text)."""
     marked = written(with_fingerprints(docs, shingle, seed))
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    # Components are named by a fingerprint first; its least doc_id then follows from all of its classes.
-    found = components(fingerprint_links(classes, bits))
-    named = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(classified(marked, bits))
+    # A component is named by a fingerprint first; its least doc_id follows from the least of each fingerprint.
+    least = named.join(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    first = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(named.join(first, "component").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: the one of the least doc_id, then text hash."""
+    marked = written(with_fingerprints(docs, shingle, seed))
+    named = classified(marked, bits)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = named.join(marked.groupBy("fp").agg(F.min(key).alias("first")), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    first = written(first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")).distinct())
+    keyed = docs.withColumns({"first_hash": F.xxhash64(F.col("text").cast("string"))})
+    kept = keyed.join(first.withColumnRenamed("first_hash", "hash_"), F.expr("cast(doc_id AS long) <=> first_id AND first_hash = hash_"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "first_hash"]).select(*docs.columns)

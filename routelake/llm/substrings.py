@@ -227,8 +227,8 @@ def identified(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"), *[F.struct(*keep).alias("kept")] * bool(keep))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, m: int = M, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_removed, text) and the columns in keep: each row of docs (doc_id, text) with its kept words joined by one space."""
+def without_repeats(docs: DataFrame, window: int = WINDOW, m: int = M, keep: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, text) and the columns in keep: each row of docs (doc_id, text) with its kept words joined by one space. untouched: a text that loses nothing stays as it is."""
     rows = identified(docs, keep)
     runs = written(marked_windows(identified(docs).select("id", "fp", "text"), window, m))
     runs = runs.groupBy("id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
@@ -244,7 +244,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, m: int = M, keep: tup
                     gone = covered(len(toks), [(x["start"], x["n"]) for x in marks.as_py()], window)
                     toks = [t for t, g in zip(toks, gone.tolist(), strict=True) if not g]
                 n_removed.append(n_words[-1] - len(toks))
-                texts.append(b" ".join(toks).decode())
+                texts.append(text.as_py() if untouched and not n_removed[-1] else b" ".join(toks).decode())
             ids = [None if d == NO_ID else d for d in batch.column("id").to_pylist()]
             columns = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(texts, pa.string())}
             if keep:

@@ -2,8 +2,8 @@
 
 Fit. At most POSITIVES and NEGATIVES labelled texts, those with the least hash of doc_id, become the examples; these bounds are the
 only sample, and every text is scored. Their terms are words, in lower case and without marks at their ends, and beginnings of
-words. A term is selected if a likelihood-ratio test finds it tied to the label (at most TERMS of them), so common prose does not
-drown the few words that matter. An example is a vector of (1 + log count) x idf over selected terms, of length one.
+words. A term is selected if a likelihood-ratio test finds it tied to the label toxic and it is much more frequent there (at most TERMS of
+them), so common prose does not drown the few words that matter. An example is a vector of (1 + log count) x idf over selected terms, of length one.
 
 Index. Examples are numbered by their heaviest term, so alike ones are neighbours; a term's postings lie in blocks of BLOCK numbers,
 each with its largest weight. A query adds up the bounds of its terms for each block and visits blocks from the highest bound down
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from routelake.llm.shared import written
 
-POSITIVES, NEGATIVES, TERMS, K, BLOCK, SEED = 4000, 8000, 4096, 15, 64, 23
-#: A term's likelihood ratio must reach this, and it must occur in so many examples.
-LEAST_RATIO, LEAST_EXAMPLES = 16.0, 3
+POSITIVES, NEGATIVES, TERMS, K, BLOCK, SEED = 4000, 8000, 4096, 40, 64, 23
+#: Terms are tested that occur in so many examples; of those selected, this share may be there by chance.
+LEAST_EXAMPLES, BY_CHANCE = 3, 0.05
+#: And the share of toxic examples among those that hold a term must be so many times that among all.
+LEAST_LIFT = 4.0
 TOXIC_FROM, EVIDENCE = 0.7, 3
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 MARKS = ".,;:!?\"'()[]{}<>#*$%&|-_/\\…«»¿¡"
 CACHED = 300_000
 
@@ -162,6 +165,12 @@ class Model:
         return value, [{"doc_id": int(self.doc[x]), "toxic": int(self.toxic[x]), "cosine": float(y)} for x, y in zip(e[:EVIDENCE].tolist(), c[:EVIDENCE].tolist(), strict=True)]
 
 
+def certain(ratios: list[float], tests: int) -> int:
+    """How many of the falling likelihood ratios to accept among so many tests (Benjamini and Hochberg's rule)."""
+    fine = [k for k, r in enumerate(ratios, 1) if erfc(sqrt(max(r, 0.0) / 2)) <= BY_CHANCE * k / tests]
+    return max(fine, default=0)
+
+
 def in_training(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
 
@@ -194,7 +203,13 @@ def fit(docs: DataFrame, labels: DataFrame, training=in_training, positives: int
     inside, outside = a + b, (n1 + n0) - a - b
     ratio = 2 * (part(a, n1, inside) + part(b, n0, inside) + part(n1 - a, n1, outside) + part(n0 - b, n0, outside))
     found = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    found = found.where(a + b >= LEAST_EXAMPLES).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(terms).collect()
+    heavy = totals[0] / n0, totals[1] / n1
+    base = totals[1] / (totals[0] + totals[1])
+    lifted = a * heavy[1] >= min(LEAST_LIFT * base, (1 + base) / 2) * (a * heavy[1] + b * heavy[0])
+    tested = written(found.where(a + b >= LEAST_EXAMPLES).withColumn("ratio", ratio).withColumn("lifted", lifted))
+    tests = tested.count()
+    found = tested.where("lifted").orderBy(F.desc("ratio"), "term").limit(terms).collect()
+    found = found[: certain([r["ratio"] for r in found], tests)]
     numbers = {r["term"]: i for i, r in enumerate(found)}
     idf = np.log((1 + n1 + n0) / (1 + np.array([r["a"] + r["b"] for r in found], float))) + 1
 
@@ -243,26 +258,45 @@ def calibrate(model: Model, silent: list[int], vectors: list) -> None:
         model.upto, model.value = np.array([0.5, 1.0]), np.array([0.25, 0.75])
 
 
+class Scorer:
+    """Scores texts in turn; equal vectors are looked up once."""
+
+    def __init__(self, model: Model):
+        self.model, self.terms, self.known = model, WordTerms(model.numbers), {}
+
+    def __call__(self, text: str | None) -> tuple[float, list]:
+        counts: dict[int, int] = {}
+        for hit in filter(None, map(self.terms.__getitem__, (text or "").split())):
+            for t in hit:
+                counts[t] = counts.get(t, 0) + 1
+        key = tuple(sorted(counts.items()))
+        if key not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[key] = self.model.score(counts)
+        return self.known[key]
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, evidence) of each row of docs (doc_id, text), whatever its other columns."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, known = WordTerms(model.numbers), {}
+        scorer = Scorer(model)
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                counts: dict[int, int] = {}
-                for hit in filter(None, map(terms.__getitem__, (text.as_py() or "").split())):
-                    for t in hit:
-                        counts[t] = counts.get(t, 0) + 1
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = model.score(counts)
-                out.append(known[key])
-            scores = np.array([s for s, _ in out])
+            out = [scorer(text.as_py()) for text in batch.column(1)]
+            scores = np.array([s for s, _ in out], float)
             evidence = pa.array([e for _, e in out], pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= TOXIC_FROM).astype(np.int32)), evidence], ["doc_id", "score", "predicted", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic."""
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(text.as_py())[0] < TOXIC_FROM for text in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(fine, docs.schema)
