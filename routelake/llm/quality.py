@@ -18,11 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.shared import words
+from routelake.llm.shared import BLANKS, words, written
 
 MIN_WORDS, MOST_REPEATED, RUN = 50, 50, 3
-#: Rows of the sample on which rules are costed, and the share of rows drawn for it.
-SAMPLE_ROWS, SAMPLE_SHARE, SEED = 2000, 0.02, 3
+#: Most rows of the sample on which rules are costed.
+SAMPLE_ROWS, SEED = 2000, 3
 #: The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
 
@@ -66,36 +66,46 @@ def repeated_words(w: Column, run: int = RUN) -> Column:
         like = lambda x, j: F.when(F.get(s, j)["h"] == x["h"], same(x, F.get(s, j))).otherwise(False)
         return F.transform(F.filter(s, lambda x, j: F.coalesce(like(x, j - 1), F.lit(False)) | F.coalesce(like(x, j + 1), F.lit(False))), lambda x: x["i"])
 
-    starts = F.array_sort(_let(F.array_sort(windows), marked))
+    starts = F.sort_array(_let(F.sort_array(windows), marked))
     # The next start, or the end, bounds what each window adds to the union.
     adds = lambda s: F.aggregate(F.transform(s, lambda x, j: F.least(F.coalesce(F.get(s, j + 1), x + run) - x, F.lit(run))), F.lit(0), lambda a, b: a + b)
     return _let(starts, adds)
 
 
+def _measures(text: Column) -> Column:
+    """Struct of w, lines and the base counts. Words and lines are bound once, so no plan, whatever it pushes down, splits the text for each element."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+
+    def counted(w: Column) -> Column:
+        return _let(lines, lambda lines: F.struct(
+            w.alias("w"), lines.alias("lines"), F.size(w).cast("long").alias("n_words"),
+            F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            repeated_words(w).cast("long").alias("n_repeat_words"),
+        ))
+
+    return _let(words(text), counted)
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the base counts, w and lines."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select("doc_id", text.alias("text")).withColumn("w", words(F.col("text"))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != ""))
-    spaceless = F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))
-    unsigned = F.length(F.translate("text", SYMBOLS, ""))
-    out = out.withColumn("n_words", F.size("w").cast("long")).withColumn("word_chars", spaceless.cast("long")).withColumn("n_symbols", (F.length("text") - unsigned).cast("long"))
-    out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).withColumn("n_repeat_words", repeated_words(F.col("w")).cast("long"))
+    out = docs.select("doc_id", text.alias("text")).select("doc_id", "text", _measures(F.col("text")).alias("m")).select("doc_id", "text", "m.*")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
 def ordered(docs: DataFrame, given: list[Rule]) -> list[tuple[Rule, float, float]]:
     """(rule, seconds a row, share rejected), best first by rejection per cost."""
-    sample = measured(docs.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(10_000)) < int(SAMPLE_SHARE * 10_000)).limit(SAMPLE_ROWS)).where(~F.col("base_failed")).drop("doc_id")
-    sample = sample.persist()
-    out = []
-    try:
-        rows = sample.count()
-        for rule in given:
-            began = time.perf_counter()
-            rejected = sample.where(rule.rejects).count()
-            out.append((rule, (time.perf_counter() - began) / max(rows, 1), rejected / max(rows, 1)))
-    finally:
-        sample.unpersist()
+    share = SAMPLE_ROWS / max(docs.count(), 1)
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)) < F.lit(int(min(1, share) * (1 << 40)))
+    # Written, so that each rule's time is its own.
+    sample = written(measured(docs.where(drawn).limit(SAMPLE_ROWS)).drop("doc_id")).where(~F.col("base_failed"))
+    rows, out = sample.count(), []
+    for rule in given:
+        began = time.perf_counter()
+        rejected = sample.where(rule.rejects).count()
+        out.append((rule, (time.perf_counter() - began) / max(rows, 1), rejected / max(rows, 1)))
     return sorted(out, key=lambda x: (-x[2] / max(x[1], 1e-12), x[1]))
 
 
