@@ -205,8 +205,7 @@ def fit_score(target: int, leg_range: tuple[int, int], hours_range: tuple[float,
     total = lambda f: F.aggregate(h, F.lit(0.0), lambda a, x: a + f(x))
     mean = total(lambda x: x) / n
     off = total(lambda x: F.abs(x - middle)) / n / scale
-    squares = total(lambda x: x * x) / n
-    uneven = F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0))) / scale
+    uneven = F.sqrt(total(lambda x: (x - mean) * (x - mean)) / n) / scale
     score = F.abs(n - target) / max(1, leg_range[1] - leg_range[0]) + off + 0.5 * uneven
     if night_states is not None:
         penalty = F.aggregate(night_states, F.lit(0.0), lambda a, x: a + F.when(x == "full", 1.0).when(x == "unknown", 0.5).otherwise(0.0))

@@ -426,20 +426,15 @@ def kill_counters(spark, sf_dir):
     return kills
 
 
-def _ranked(spark, sf_dir):
-    tours, _ = _search(spark, sf_dir, search.Query(legs_max=3))
-    return tours.withColumn("score", search.fit_score(3, (2, 4), (4.0, 8.0)))
-
-
 @query(
-    "SELECT start_id, exit_start_id, hut, ROUND(ABS(2 - 3) / 2.0 + (ABS(h1 - 6) + ABS(h2 - 6)) / 2 / 2 + 0.5 * (ABS(h1 - h2) / 2) / 2, 6) AS score FROM (SELECT m.start_id, e.start_id AS exit_start_id, m.hut_id AS hut, m.h AS h1, e.h AS h2 FROM (SELECT start_id, hut_id, MIN(h) AS h FROM matrix WHERE start_type = 1 AND h <= 8 GROUP BY 1, 2) m JOIN exits e ON e.hut_id = m.hut_id WHERE e.h <= 8) t",
+    "SELECT start_id, exit_start_id, hut, ROUND(ABS(2 - 3) / 2.0 + (ABS(h1 - 6) + ABS(h2 - 6)) / 2 / 2 + 0.5 * (ABS(h1 - h2) / 2) / 2, 9) AS score FROM (SELECT m.start_id, e.start_id AS exit_start_id, m.hut_id AS hut, m.h AS h1, e.h AS h2 FROM (SELECT start_id, hut_id, MIN(h) AS h FROM matrix WHERE start_type = 1 AND h <= 8 GROUP BY 1, 2) m JOIN exits e ON e.hut_id = m.hut_id WHERE e.h <= 8) t",
     "start_record",
     "hut_edge",
     more=SEARCH_SQL.replace("{most}", "1"),
 )
 def tour_search_ranked(spark, sf_dir):
     tours, _ = _search(spark, sf_dir, search.Query(legs_max=2))
-    return tours.withColumn("score", search.fit_score(3, (2, 4), (4.0, 8.0))).select("start_id", "exit_start_id", F.element_at("huts", 1).alias("hut"), r6("score"))
+    return tours.withColumn("score", search.fit_score(3, (2, 4), (4.0, 8.0))).select("start_id", "exit_start_id", F.element_at("huts", 1).alias("hut"), F.round("score", 9).alias("score"))
 
 
 @query(None)
