@@ -6,6 +6,10 @@ distance is at most 4, it is at most 2 in one half, and then some integer vector
 fingerprint visits, for either half, its grid cell and the cells one step away, and two fingerprints within the bound always meet in
 a cell. There all bits are compared. Nothing is sampled or capped: the search is exact.
 
+near_duplicates() links fingerprints by their bits alone. one_of_each() links texts by the similarity of their shingles: three
+fingerprints of a text's set of words find its candidates by the same grid, at up to five bits of any of them, which texts of a
+similarity of 0.8 on five-word shingles reach with a chance above 0.99; their sets of shingles then decide.
+
 Distinct fingerprints are searched, so exact copies cost one row. A cell gives a spanning forest of its links, never its pairs.
 
 Defined cases: a text without words (null, empty, only white space) has the fingerprint zero, which is linked like any other; fewer
@@ -204,13 +208,178 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: the one of the least doc_id, then text hash."""
-    marked = written(with_fingerprints(docs, shingle, seed))
-    named = classified(marked, bits)
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    first = named.join(marked.groupBy("fp").agg(F.min(key).alias("first")), "fp").groupBy("component").agg(F.min("first").alias("first"))
-    first = written(first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")).distinct())
-    keyed = docs.withColumns({"first_hash": F.xxhash64(F.col("text").cast("string"))})
-    kept = keyed.join(first.withColumnRenamed("first_hash", "hash_"), F.expr("cast(doc_id AS long) <=> first_id AND first_hash = hash_"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "first_hash"]).select(*docs.columns)
+# Groups of similar texts: fingerprints find candidates, shingles decide.
+
+FINGERPRINTS, SIMILAR_WORDS, SIMILAR, SKETCH = 3, 5, 0.8, 384
+PROFILE = "doc_id long, text_hash long, text_hash2 long, fps array<long>, sketch binary"
+
+
+def remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another 64-bit hash from one, by number."""
+    h = (h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_set_fingerprints(texts: list, n: int) -> np.ndarray:
+    """n SimHashes of the set of words of each text: a row of n a text."""
+    from xxhash import xxh64_intdigest
+
+    out = np.zeros((len(texts), n), np.uint64)
+    flat, at, owner = [], [], []
+
+    def add():
+        if flat:
+            hashes, starts = np.array(flat, np.uint64), np.array(at)
+            sizes = np.diff([*at, len(flat)])
+            for k in range(n):
+                ones = bit_sums(remixed(hashes, k), starts) * 2 > sizes[:, None]
+                out[owner, k] = np.packbits(ones, axis=1, bitorder="little").view("<u8").ravel()
+
+    for i, text in enumerate(texts):
+        if words := set((text or "").encode().lower().split()):
+            at.append(len(flat))
+            owner.append(i)
+            flat += [xxh64_intdigest(w, SEED) for w in words]
+            if len(flat) >= CHUNK_HASHES:
+                add()
+                flat, at, owner = [], [], []
+    add()
+    return out
+
+
+def sketch_of(text: str | None, words: int = SIMILAR_WORDS, size: int = SKETCH) -> bytes:
+    """The least hashes of the set of shingles: the whole set up to size, else a bottom-k sketch."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64) & np.uint64(0xFFFFFFFF))[:size].astype("<u4").tobytes()
+
+
+def sketch_similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
+    """Jaccard similarity of two sets of shingles: exact while both are whole, else from the least hashes of their union."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)
+    if not len(both):
+        return 1.0
+    if max(len(x), len(y)) >= size:
+        both = both[:size]
+    return float((np.isin(both, x) & np.isin(both, y)).mean())
+
+
+def least_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Positions of the links of a minimum spanning forest of n nodes, by distance d, then place."""
+    order = np.lexsort((b, a, d))
+    a, b = a[order], b[order]
+    label, alive, chosen = np.arange(n), np.arange(len(a)), []
+    while True:
+        la, lb = label[a[alive]], label[b[alive]]
+        apart = la != lb
+        alive, la, lb = alive[apart], la[apart], lb[apart]
+        if not len(alive):
+            return order[np.unique(np.concatenate(chosen))] if chosen else np.empty(0, int)
+        best = np.full(n, len(a))
+        np.minimum.at(best, la, alive)
+        np.minimum.at(best, lb, alive)
+        pick = np.unique(best[best < len(a)])
+        chosen.append(pick)
+        label = forest(n, label[a[pick]], label[b[pick]])[label]
+
+
+def nearest_in_cells(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of the links of a minimum spanning forest by differing bits within runs of equal cells."""
+    n = len(cell)
+    found = [np.empty((3, 0), np.int64)]
+    held, alive, step = 0, np.arange(n), 1
+
+    def shrunk() -> np.ndarray:
+        a, b, d = np.concatenate(found, 1)
+        return np.stack([a, b, d])[:, least_forest(n, a, b, d)]
+
+    while True:
+        alive = alive[alive + step < n]
+        alive = alive[cell[alive] == cell[alive + step]]
+        if not len(alive):
+            a, b, _ = shrunk()
+            return a, b
+        d = np.bitwise_count(fp[alive] ^ fp[alive + step]).astype(np.int64)
+        near = d <= bits
+        found.append(np.stack([alive[near], alive[near] + step, d[near]]))
+        held += int(near.sum())
+        if held > 4 * n + 200_000:
+            found, held = [shrunk()], 0
+        step += 1
+
+
+def profiles(docs: DataFrame, n: int = FINGERPRINTS, words: int = SIMILAR_WORDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fps = word_set_fingerprints(texts, n).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(texts) + 1, n), pa.int32()), pa.array(fps.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists, pa.array([sketch_of(t, words) for t in texts], pa.binary())], [c.split()[0] for c in PROFILE.split(", ")])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(SEED), text).alias("text_hash2")).mapInArrow(run, PROFILE)
+
+
+def candidate_links(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
+    """Links (a, b) of classes (id, fps): for each cell a minimum spanning forest of its pairs that differ in few bits of one fingerprint."""
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, fps = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
+            for lo in range(0, len(ids), 8000):
+                for t in range(fps.shape[1]):
+                    fp = np.ascontiguousarray(fps[lo : lo + 8000, t])
+                    index, cell = cells(fp.view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell | np.int64(t << 40)), pa.array(fp[index]), pa.array(ids[lo : lo + 8000][index])], ["cell", "fp", "id"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, fp, ids = (np.empty(0, np.int64) for _ in range(3))
+
+        def links(cell, fp, ids):
+            a, b = nearest_in_cells(cell, fp.view(np.uint64), bits)
+            x = np.unique(np.sort(np.stack([ids[a], ids[b]], 1), axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            cell, fp, ids = (np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate((cell, fp, ids)))
+            whole = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+            if whole:
+                yield links(cell[:whole], fp[:whole], ids[:whole])
+                cell, fp, ids = cell[whole:], fp[whole:], ids[whole:]
+        if len(cell):
+            yield links(cell, fp, ids)
+
+    visits = classes.mapInArrow(visit, "cell long, fp long, id long")
+    met = visits.repartition(partitions(classes.sparkSession), "cell").sortWithinPartitions("cell", "fp", "id")
+    return met.mapInArrow(meet, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(profiles of the rows with class id, components of classes). Texts of a component are linked by a similarity of at least `least` on shingles of so many words; equal texts are one class."""
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [sketch_similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    marked = written(profiles(docs, words=words).withColumn("row", F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = written(marked.groupBy("text_hash", "text_hash2").agg(F.min(key).alias("first"), F.first("fps").alias("fps")).select("text_hash", "text_hash2", F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc_id"), "fps"))
+    links = written(candidate_links(classes.select("id", "fps")))
+    involved = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sketches = written(marked.select(F.col("row").alias("id"), "sketch").join(involved, "id", "left_semi"))
+    pairs = links.join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
+    return classes, components(pairs.mapInArrow(fine, "a long, b long"))
+
+
+def one_of_each(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group of similar texts: the one of the least doc_id."""
+    classes, found = similar_groups(docs, words, least)
+    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "text_hash2")
+    first = named.groupBy("component").agg(F.min(key).alias("f")).select(F.col("f.doc_id").alias("first_id"), F.col("f.text_hash").alias("hash_1"), F.col("f.text_hash2").alias("hash_2"))
+    first = written(first)
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"hash_a": F.xxhash64(text), "hash_b": F.xxhash64(F.lit(SEED), text)})
+    kept = keyed.join(first, F.expr("cast(doc_id AS long) <=> first_id AND hash_a = hash_1 AND hash_b = hash_2"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "hash_a", "hash_b"]).select(*docs.columns)
