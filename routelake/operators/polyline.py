@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from routelake.functions.geo import DEGREE_M, haversine_m
 
-LINE = Window.partitionBy("rec").orderBy("pos")
-SO_FAR = LINE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = LINE.rowsBetween(Window.unboundedPreceding, -1)
-REST = LINE.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-ALL = Window.partitionBy("rec")
+
+def line() -> WindowSpec:
+    return Window.partitionBy("rec").orderBy("pos")
+
+
+def before() -> WindowSpec:
+    return line().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def so_far() -> WindowSpec:
+    return line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def rest() -> WindowSpec:
+    return line().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("rec")
 
 
 def with_segments(vertices: DataFrame) -> DataFrame:
     """Adds seg_m, metres to the next vertex, null at the last."""
-    return vertices.withColumn("seg_m", haversine_m(F.col("lon"), F.col("lat"), F.lead("lon").over(LINE), F.lead("lat").over(LINE)))
+    return vertices.withColumn("seg_m", haversine_m(F.col("lon"), F.col("lat"), F.lead("lon").over(line()), F.lead("lat").over(line())))
 
 
 def with_arc(vertices: DataFrame) -> DataFrame:
     """Adds seg_m, at_m (metres from the start) and total_m."""
     out = with_segments(vertices)
-    return out.withColumns({"at_m": F.coalesce(F.sum("seg_m").over(BEFORE), F.lit(0.0)), "total_m": F.coalesce(F.sum("seg_m").over(ALL), F.lit(0.0))})
+    return out.withColumns({"at_m": F.coalesce(F.sum("seg_m").over(before()), F.lit(0.0)), "total_m": F.coalesce(F.sum("seg_m").over(whole()), F.lit(0.0))})
 
 
 def filled(vertices: DataFrame) -> DataFrame:
     """ele carried forward, then backward; 0 where a line has none at all."""
-    return vertices.withColumn("ele", F.coalesce(F.last("ele", ignorenulls=True).over(SO_FAR), F.first("ele", ignorenulls=True).over(REST), F.lit(0.0)))
+    return vertices.withColumn("ele", F.coalesce(F.last("ele", ignorenulls=True).over(so_far()), F.first("ele", ignorenulls=True).over(rest()), F.lit(0.0)))
 
 
 def ascent_descent(vertices: DataFrame) -> DataFrame:
     """(rec, ascent_m, descent_m): sums of rises and falls between neighbours."""
-    step = F.col("ele") - F.lag("ele").over(LINE)
+    step = F.col("ele") - F.lag("ele").over(line())
     out = vertices.withColumn("step_", step)
     return out.groupBy("rec").agg(F.coalesce(F.sum(F.greatest(F.col("step_"), F.lit(0.0))), F.lit(0.0)).alias("ascent_m"), F.coalesce(F.sum(F.greatest(-F.col("step_"), F.lit(0.0))), F.lit(0.0)).alias("descent_m"))
 
@@ -46,7 +60,7 @@ def worst_gaps(vertices: DataFrame) -> DataFrame:
 
 def at_fractions(vertices: DataFrame, fractions: list[float]) -> DataFrame:
     """(rec, fraction, lon, lat): points at fractions of the arc length; a line without length gives its first vertex."""
-    arc = with_arc(vertices).withColumns({"lon2": F.lead("lon").over(LINE), "lat2": F.lead("lat").over(LINE)})
+    arc = with_arc(vertices).withColumns({"lon2": F.lead("lon").over(line()), "lat2": F.lead("lat").over(line())})
     each = arc.withColumn("fraction", F.explode(F.array(*map(F.lit, fractions)))).withColumn("target", F.col("fraction") * F.col("total_m"))
     inside = (F.col("at_m") <= F.col("target")) & (F.col("seg_m").isNull() | (F.col("target") < F.col("at_m") + F.col("seg_m")))
     point = each.where(inside | ((F.col("total_m") == 0) & (F.col("pos") == 0)))
@@ -57,7 +71,7 @@ def at_fractions(vertices: DataFrame, fractions: list[float]) -> DataFrame:
 
 def resampled(vertices: DataFrame, n: int) -> DataFrame:
     """(rec, i, ele): n evenly spaced heights along each line of two vertices or more, by linear interpolation, to 0.1 m."""
-    arc = with_arc(vertices).withColumns({"ele2": F.lead("ele").over(LINE), "last_": F.max("pos").over(ALL)})
+    arc = with_arc(vertices).withColumns({"ele2": F.lead("ele").over(line()), "last_": F.max("pos").over(whole())})
     # A segment answers for the targets that fall on it, so targets are made where they are needed, not joined.
     segment = arc.where(F.col("seg_m").isNotNull())
     step = F.col("total_m") / (n - 1)
@@ -102,7 +116,7 @@ def merged_segments(lines: DataFrame, least_m: float) -> DataFrame:
 
 def retrace(vertices: DataFrame, cell_m: float = 5.0) -> DataFrame:
     """(rec, n_points, worst_m): the largest way along the line between two vertices of one small cell."""
-    arc = with_arc(vertices).withColumn("lat0", F.avg("lat").over(ALL))
+    arc = with_arc(vertices).withColumn("lat0", F.avg("lat").over(whole()))
     x = F.rint(F.col("lon") * DEGREE_M * F.greatest(F.cos(F.radians("lat0")), F.lit(1e-6)) / cell_m)
     cells = arc.withColumns({"cx": x.cast("long"), "cy": F.rint(F.col("lat") * DEGREE_M / cell_m).cast("long")})
     spans = cells.groupBy("rec", "cx", "cy").agg((F.max("at_m") - F.min("at_m")).alias("span"), F.count("*").alias("n"))

@@ -174,6 +174,8 @@ def hut_overlap(a: Column, b: Column) -> Column:
 def without_similar(tours: DataFrame, scope: str = "per_start") -> DataFrame:
     """Greedy: a tour in order of total_h stays if no kept one shares more than half of the smaller set of huts. per_start compares tours of one start alone; global also keeps one tour a start. The rule is sequential, so it is a fold over a group."""
 
+    columns = tours.columns
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(p_=[tuple(p) for p in rows["place"]]).sort_values(["total_h", "p_"], kind="stable")
         kept: list[tuple[int, set]] = []
@@ -184,12 +186,12 @@ def without_similar(tours: DataFrame, scope: str = "per_start") -> DataFrame:
             if not like:
                 kept.append((start, own))
                 out.append(i)
-        return rows.loc[out].drop(columns="p_")
+        return rows.loc[out][columns]
 
     if scope == "per_start":
         return tours.groupBy("start_id").applyInPandas(fold, tours.schema)
     # The scope of the whole result is one group by its definition; it holds the tours of one search.
-    return tours.groupBy(F.lit(0)).applyInPandas(fold, tours.schema)
+    return tours.withColumn("all_", F.lit(0)).groupBy("all_").applyInPandas(fold, tours.schema)
 
 
 def find_tours(query: Query, approaches: DataFrame, exits: DataFrame, adjacency: DataFrame, hut_ids=None, start_ids=None, scope: str = "per_start") -> DataFrame:
