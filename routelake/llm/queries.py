@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelake.llm import chat, embeddings, mixing, packing, quality, sharding, simhash, substrings, toxicity, urls
+from routelake.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +67,3 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_substrings": op3_substrings, "op4_sharding": op4_sharding, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_chat": op9_chat, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
