@@ -27,7 +27,7 @@ from routelake.llm.shared import partitions, written
 
 WINDOW, M = 20, 3
 #: Bytes of text that a task works on at once, besides one whole document; buckets for each shuffle partition; words that are cached.
-CHUNK, BUCKETS, CACHED = 6_000_000, 8, 200_000
+CHUNK, BUCKETS, CACHED = 6_000_000, 20, 200_000
 NO_ID = 2**63 - 1
 
 _PRIME, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
@@ -111,6 +111,12 @@ def split_chunk(docs: list[tuple[int, int, bytes]], buckets: int, window: int, m
         yield b, packed([(*k, piece) for piece, k in lot.items()], gone.get(b, []))
 
 
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
+
+
 def later_windows(keys: np.ndarray, text: bytes, window: int) -> np.ndarray:
     """(doc_id, text hash, start, number of windows) of the windows of super-k-mers whose text is also that of an earlier window."""
     buf = np.frombuffer(text, np.uint8)
@@ -123,17 +129,17 @@ def later_windows(keys: np.ndarray, text: bytes, window: int) -> np.ndarray:
     n = len(start) - window + 1
     inside = np.flatnonzero(piece[:n] == piece[window - 1 :])
     a, z = start[inside], end[inside + window - 1]
-    powers = np.full(len(buf), _PRIME, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)])
+    # Three arrays of the text's length at most, each eight times its bytes.
+    powers = _powers(len(buf), _PRIME)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.add(buf, 1, out=sums[1:], dtype=np.uint64)
+    sums[1:] *= powers
+    del powers
+    np.cumsum(sums, out=sums)
     value = sums[z] - sums[a]
     del sums
     # Hashes are compared at one power: a window's sum times the power that its place lacks.
-    back = np.full(len(buf), _INVERSE, np.uint64)
-    back[0] = 1
-    value = mixed(value * np.cumprod(back, dtype=np.uint64)[a])
-    del powers, back
+    value = mixed(value * _powers(len(buf), _INVERSE)[a])
     order = np.argsort(value, kind="stable")
     v = value[order]
     twin = np.zeros(len(v), bool)
