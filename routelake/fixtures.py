@@ -74,8 +74,15 @@ SELECT s.*, start_id * 1000000 + hut_id AS edge_id FROM start_edge s""",
 }
 
 
+_registered: dict[str, str] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temp views of the tables and of VIEWS."""
+    """Temp views of the tables and of VIEWS; once for a session and folder."""
+    session = spark._jsparkSession.sessionUUID()
+    if _registered.get(session) == sf_dir and spark.catalog.tableExists("start_record"):
+        return
+    _registered[session] = sf_dir
     for name in TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, text in VIEWS.items():

@@ -1,6 +1,6 @@
 """Search of tours: layers of states (hut, start, visited huts), filtered, pruned by dominance and closed by exit legs.
 
-One DataFrame per layer; a layer is persisted, as the next one and its own exits read it. Legs join on the hut; all tests of a leg
+One DataFrame per layer; a layer is persisted, as the next one and its own exits read it, and so are the legs that all layers join. Legs join on the hut; all tests of a leg
 are one CASE, so that the counter of the first failing test is right and later, dearer tests run on survivors only. Of states with
 one hut, start and set of visited huts the one of least duration survives, the first of equals. Order is carried as an array: first
 sighting of the hut, then of the state's key, then the leg's place, which is the order in which nested maps would yield them.
@@ -108,9 +108,9 @@ def search(query: Query, approaches: DataFrame, exits: DataFrame, adjacency: Dat
     layer = _dominant(layer).persist()
     out_legs = backward(fitting(exits).where(F.col("variant") == query.variant)).withColumns({k: v for k, v in unknown.items() if k not in exits.columns})
     out_legs = _with_ids(out_legs, start_ids, query).withColumn("reason", query.reason())
-    out_legs = out_legs.select(F.col("hut_id").alias("x_hut"), F.col("start_id").alias("exit_start_id"), *[c for c in out_legs.columns if c not in ("hut_id", "start_id", "start_type", "variant", "access")])
+    out_legs = out_legs.select(F.col("hut_id").alias("x_hut"), F.col("start_id").alias("exit_start_id"), *[c for c in out_legs.columns if c not in ("hut_id", "start_id", "start_type", "variant", "access")]).persist()
     steps = _with_ids(adjacency, hut_ids, query).withColumn("reason", query.reason()).withColumn("to_hut", F.col("to_id"))
-    steps = _allowed(steps, query)
+    steps = _allowed(steps, query).persist()
     finished = []
 
     def finish(layer: DataFrame, n: int) -> None:
