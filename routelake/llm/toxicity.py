@@ -34,10 +34,12 @@ from routelake.llm.shared import written
 
 POSITIVES, NEGATIVES, TERMS, K, BLOCK, SEED = 4000, 8000, 4096, 40, 64, 23
 #: Terms are tested that occur in so many examples; of those selected, this share may be there by chance.
-LEAST_EXAMPLES, BY_CHANCE = 3, 0.05
+LEAST_EXAMPLES, BY_CHANCE = 3, 0.001
 #: And the share of toxic examples among those that hold a term must be so many times that among all.
 LEAST_LIFT = 4.0
 TOXIC_FROM, EVIDENCE = 0.7, 3
+#: Votes against, in perfectly close examples, that every text has beforehand; a few far neighbours don't convince.
+DOUBT = 2.0
 BEGINNINGS = (4, 5, 6, 7, 8)
 MARKS = ".,;:!?\"'()[]{}<>#*$%&|-_/\\…«»¿¡"
 CACHED = 300_000
@@ -153,7 +155,7 @@ class Model:
 
     def share(self, examples: np.ndarray, cosines: np.ndarray) -> float:
         votes = cosines**2 * self.class_weight[self.toxic[examples]]
-        return float((votes * self.toxic[examples]).sum() / votes.sum())
+        return float((votes * self.toxic[examples]).sum() / (votes.sum() + DOUBT * self.class_weight[1]))
 
     def score(self, counts: dict[int, int]) -> tuple[float, list]:
         if not counts or not self.index.n:
