@@ -39,4 +39,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components didn't settle")
     least = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least)
+    out._made_of = [edges]
+    return out

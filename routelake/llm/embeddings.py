@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelake.llm.components import components
-from routelake.llm.shared import partitions, written
+from routelake.llm.shared import partitions, tidy, written
 from routelake.llm.simhash import forest
 
 COSINE, TABLES, PARTS, PROBES, SCALE, SEED = 0.9, 6, 2, 6, 0.28, 11
@@ -159,7 +159,7 @@ def vectors(table: DataFrame) -> DataFrame:
                 out.append(x.tobytes() if fine else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "packed"])
 
-    packed = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(pack, "vec_id long, packed binary")
+    packed = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(tidy("embeddings", pack), "vec_id long, packed binary")
     return packed.withColumn("k1", F.xxhash64("packed")).withColumn("k2", F.xxhash64(F.lit(1), "packed"))
 
 
@@ -186,7 +186,7 @@ def near_duplicates(table: DataFrame, bound: float = COSINE, tables: int = TABLE
                     at = np.repeat(lot, each)
                     yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(own.ravel()), pa.array(ids[at]), pa.array(times[at]), pa.array(packed, pa.binary()).take(pa.array(at))], ["cell", "own", "id", "times", "packed"])
 
-    visits = classes.select("id", "times", "packed").mapInArrow(visit, "cell long, own boolean, id long, times long, packed binary")
+    visits = classes.select("id", "times", "packed").mapInArrow(tidy("embeddings", visit), "cell long, own boolean, id long, times long, packed binary")
     large = visits.groupBy("cell").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
     large = written(large.select("cell", F.ceil(F.col("members") / (BLOCK // 2)).cast("int").alias("blocks")))
     dealt = visits.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -229,7 +229,7 @@ def near_duplicates(table: DataFrame, bound: float = COSINE, tables: int = TABLE
         if held is not None and len(held):
             yield close(held)
 
-    found = written(met.mapInArrow(compare, "id long, links long, least long"))
+    found = written(met.mapInArrow(tidy("embeddings", compare), "id long, links long, least long"))
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
     whole = classes.select("id", "k1", "k2", "least", "times").join(linked, "id", "left").join(named.withColumnRenamed("node", "id"), "id", "left")

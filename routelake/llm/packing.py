@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routelake.llm.shared import kept_caches, tidy
+
 CAPACITY, END_ID, GROUP, PART = 2048, 1, 512, 256
 CACHED_WORDS = 1_000_000
 #: Characters of text that end a group early.
 HELD = 8_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_tokenizers: dict = {}
+_tokenizers = kept_caches.setdefault("packing", {})
 
 
 #: A text without such characters gives the same pieces in lower case: its letters are composed and have one lower-case letter each.
@@ -204,4 +206,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy("packing", run), SCHEMA)

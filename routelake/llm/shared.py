@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +33,58 @@ def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table of written() that no later plan reads."""
-    path = getattr(df, "_written_at", None)
-    if path:
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written(), and those that a result was made of, that no later plan reads."""
+    for df in tables:
+        forget(*getattr(df, "_made_of", ()))
+        path = getattr(df, "_written_at", None)
+        if path is None:
+            continue
         spark = df.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What workers keep from task to task, by operator.
+kept_caches: dict[str, dict] = {}
+_running = [""]
+
+
+def _enter(name: str) -> None:
+    if _running[0] != name:
+        for other, cache in kept_caches.items():
+            if other != name:
+                cache.clear()
+        _running[0] = name
+
+
+def _leave() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(name: str, run: Callable) -> Callable:
+    """run for mapInArrow, with memory given back: a worker first drops what other operators kept, and at the end what the allocators hold free."""
+
+    def wrapped(batches):
+        _enter(name)
+        try:
+            yield from run(batches)
+        finally:
+            _leave()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

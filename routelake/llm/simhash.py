@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelake.llm.components import components
-from routelake.llm.shared import partitions, written
+from routelake.llm.shared import forget, partitions, tidy, written
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: The bound holds for up to this many differing bits: two halves, each within one step of a common cell.
@@ -89,7 +89,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(tidy("simhash", run), "doc_id long, fp long, text_hash long")
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -185,9 +185,9 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
         if len(cell):
             yield links(cell, fp)
 
-    visits = fps.select("fp").mapInArrow(visit, "cell long, fp long")
+    visits = fps.select("fp").mapInArrow(tidy("simhash", visit), "cell long, fp long")
     met = visits.repartition(partitions(fps.sparkSession), "cell").sortWithinPartitions("cell", "fp")
-    return met.mapInArrow(meet, "a long, b long")
+    return met.mapInArrow(tidy("simhash", meet), "a long, b long")
 
 
 def classified(marked: DataFrame, bits: int = BITS) -> DataFrame:
@@ -317,7 +317,7 @@ def profiles(docs: DataFrame, n: int = FINGERPRINTS, words: int = SIMILAR_WORDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists, pa.array([sketch_of(t, words) for t in texts], pa.binary())], [c.split()[0] for c in PROFILE.split(", ")])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(SEED), text).alias("text_hash2")).mapInArrow(run, PROFILE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(SEED), text).alias("text_hash2")).mapInArrow(tidy("simhash", run), PROFILE)
 
 
 def candidate_links(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
@@ -349,9 +349,9 @@ def candidate_links(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
         if len(cell):
             yield links(cell, fp, ids)
 
-    visits = classes.mapInArrow(visit, "cell long, fp long, id long")
+    visits = classes.mapInArrow(tidy("simhash", visit), "cell long, fp long, id long")
     met = visits.repartition(partitions(classes.sparkSession), "cell").sortWithinPartitions("cell", "fp", "id")
-    return met.mapInArrow(meet, "a long, b long").distinct()
+    return met.mapInArrow(tidy("simhash", meet), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -369,7 +369,10 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
     involved = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sketches = written(marked.select(F.col("row").alias("id"), "sketch").join(involved, "id", "left_semi"))
     pairs = links.join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
-    return classes, components(pairs.mapInArrow(fine, "a long, b long"))
+    found = components(pairs.mapInArrow(tidy("simhash", fine), "a long, b long"))
+    forget(links, sketches)
+    found._made_of = [*found._made_of, marked]
+    return classes, found
 
 
 def one_of_each(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
@@ -379,6 +382,7 @@ def one_of_each(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMI
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "text_hash2")
     first = named.groupBy("component").agg(F.min(key).alias("f")).select(F.col("f.doc_id").alias("first_id"), F.col("f.text_hash").alias("hash_1"), F.col("f.text_hash2").alias("hash_2"))
     first = written(first)
+    forget(found, classes)
     text = F.col("text").cast("string")
     keyed = docs.withColumns({"hash_a": F.xxhash64(text), "hash_b": F.xxhash64(F.lit(SEED), text)})
     kept = keyed.join(first, F.expr("cast(doc_id AS long) <=> first_id AND hash_a = hash_1 AND hash_b = hash_2"), "left_semi")

@@ -23,11 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.shared import partitions, written
+from routelake.llm.shared import partitions, tidy, written
 
 WINDOW, M = 20, 3
 #: Bytes of text that a task works on at once, besides one whole document; buckets for each shuffle partition; words that are cached.
-CHUNK, BUCKETS, CACHED = 6_000_000, 20, 200_000
+CHUNK, BUCKETS, CACHED = 6_000_000, 12, 200_000
 NO_ID = 2**63 - 1
 
 _PRIME, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
@@ -214,9 +214,9 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFra
         if blobs:
             yield from close()
 
-    pieces = docs.mapInArrow(split, "bucket int, packed binary")
+    pieces = docs.mapInArrow(tidy("substrings", split), "bucket int, packed binary")
     met = pieces.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(count, "id long, fp long, start int, n int")
+    return met.mapInArrow(tidy("substrings", count), "id long, fp long, start int, n int")
 
 
 def covered(n: int, runs: list, window: int) -> np.ndarray:
@@ -260,4 +260,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, m: int = M, keep: tup
     schema = "doc_id long, n_words long, n_removed long, text string"
     if keep:
         schema += f", kept {rows.schema['kept'].dataType.simpleString()}"
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy("substrings", cut), schema)

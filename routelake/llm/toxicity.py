@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.shared import written
+from routelake.llm.shared import forget, tidy, written
 
 POSITIVES, NEGATIVES, TERMS, K, BLOCK, SEED = 4000, 8000, 4096, 40, 64, 23
 #: Terms are tested that occur in so many examples; of those selected, this share may be there by chance.
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, training=in_training, positives: int
             counts = [term_counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
-    examples = written(texts.mapInArrow(read, "doc_id long, toxic int, terms array<string>, counts array<int>").dropDuplicates(["terms", "counts", "toxic"]))
+    examples = written(texts.mapInArrow(tidy("toxicity", read), "doc_id long, toxic int, terms array<string>, counts array<int>").dropDuplicates(["terms", "counts", "toxic"]))
     sizes = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -221,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, training=in_training, positives: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(x) for x in out], pa.list_(pa.int32())), pa.array([list(x.values()) for x in out], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
     # As many rows as examples, with numbers of selected terms alone.
-    rows = examples.mapInArrow(restrict, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
+    rows = examples.mapInArrow(tidy("toxicity", restrict), "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
+    forget(examples, tested)
     rows = sorted((r["toxic"], r["doc_id"], sorted(zip(r["terms"], r["counts"], strict=True))) for r in rows)
     class_weight = np.array([totals[0] / n0, totals[1] / n1])
     model = Model(numbers, idf, Index.of([], 0), np.empty(0), np.empty(0), class_weight, np.zeros(1), np.zeros(1), 0.0)
@@ -290,7 +291,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             evidence = pa.array([e for _, e in out], pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= TOXIC_FROM).astype(np.int32)), evidence], ["doc_id", "score", "predicted", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy("toxicity", score), "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -301,4 +302,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([scorer(text.as_py())[0] < TOXIC_FROM for text in batch.column("text")], pa.bool_()))
 
-    return docs.mapInArrow(fine, docs.schema)
+    return docs.mapInArrow(tidy("toxicity", fine), docs.schema)
