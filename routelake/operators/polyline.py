@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from routelake.functions.geo import DEGREE_M, haversine_m
+from routelake.functions.geo import DEGREE_M, haversine_m, point_code
 
 
 def line() -> WindowSpec:
@@ -139,3 +139,20 @@ def split_at(lines: DataFrame) -> DataFrame:
     tail = F.concat(F.array(cut), F.slice("points", F.col("seg") + 2, F.size("points")))
     half = lambda k, share, points: F.struct((F.col("edge_id") * 3 + k).alias("half_id"), (F.col("length_m") * share).alias("length_m"), (F.col("ascent_m") * share).alias("ascent_m"), (F.col("descent_m") * share).alias("descent_m"), points.alias("points"))
     return lines.select("edge_id", F.explode(F.array(half(1, F.col("f"), head), half(2, 1 - F.col("f"), tail))).alias("h")).select("edge_id", "h.*")
+
+
+def with_elevations(vertices: DataFrame, known: DataFrame) -> DataFrame:
+    """Vertices (rec, pos, lon, lat) with ele of known (lon, lat, ele, ord) at the same place to 1e-7 degrees, the first of several; null where none is."""
+    x, y = point_code(F.col("lon"), F.col("lat"))
+    lookup = known.select(x.alias("kx"), y.alias("ky"), "ele", "ord").groupBy("kx", "ky").agg(F.min_by("ele", "ord").alias("ele"))
+    return vertices.drop("ele").withColumns({"kx": x, "ky": y}).join(lookup, ["kx", "ky"], "left").drop("kx", "ky")
+
+
+def leg_at(legs: DataFrame, kilometres: DataFrame) -> DataFrame:
+    """(trip_id, km, leg, fraction): the leg of legs (trip_id, leg, distance_m) at each of kilometres (trip_id, km)."""
+    walk = Window.partitionBy("trip_id").orderBy("leg")
+    rows = legs.withColumn("end_m", F.sum("distance_m").over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("last", F.max("leg").over(Window.partitionBy("trip_id")))
+    m = F.col("km") * 1000
+    start = F.col("end_m") - F.col("distance_m")
+    joined = kilometres.join(rows, "trip_id").where((m >= start) & ((m < F.col("end_m")) | (F.col("leg") == F.col("last"))))
+    return joined.select("trip_id", "km", "leg", F.when(F.col("distance_m") > 0, F.least((m - start) / F.col("distance_m"), F.lit(1.0))).otherwise(0.0).alias("fraction"))

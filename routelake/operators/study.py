@@ -184,3 +184,38 @@ def matched(rows: DataFrame, outcome: str, variables: list[str], k: int = 3) ->
     d2 = sum((F.pow(F.col(f"{c}a") - F.col(f"{c}b"), F.lit(2)) for c in z), F.lit(0.0))
     near = a.join(b, "grp").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(d2, "other"))).where(F.col("rank") <= k)
     return near.groupBy("id").agg((F.first("out_a") - F.avg("out_b")).alias("diff"), F.count("*").alias("n"))
+
+
+def linked(features: DataFrame, info: DataFrame, tour_guids: DataFrame, minutes: DataFrame, calendars: DataFrame) -> DataFrame:
+    """Hut master by booking number: features (ohrs_id, guid, name, serviced, elevation, club, lon, lat), info (ohrs_id, capacity), tour_guids (guid), minutes (guid, minutes), calendars (ohrs_id). error says why a hut is left out."""
+    from routelake.operators.grading import operator_of, region_of
+
+    on_tour = tour_guids.select(F.upper("guid").alias("guid_")).distinct().withColumn("hit", F.lit(True))
+    times = minutes.select(F.upper("guid").alias("guid_"), "minutes").groupBy("guid_").agg(F.min("minutes").alias("minutes"))
+    rows = features.where("ohrs_id IS NOT NULL").withColumn("guid_", F.upper("guid")).join(on_tour, "guid_", "left").join(times, "guid_", "left")
+    first = F.min(F.struct("guid", "elevation", "club"))
+    huts = rows.groupBy("ohrs_id").agg(F.array_sort(F.collect_list("guid")).alias("guids"), F.array_sort(F.collect_list("name")).alias("names"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("on_tour"), F.coalesce(F.bool_or("serviced"), F.lit(False)).alias("serviced"), first.alias("f"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.min("minutes").alias("approach_time_min"))
+    known = calendars.select("ohrs_id").distinct().withColumn("calendar", F.lit(True))
+    huts = huts.join(info, "ohrs_id", "left").join(known, "ohrs_id", "left")
+    error = F.when(~F.col("serviced"), "self_service").when(F.col("capacity").isNull() | (F.col("capacity") <= 0), "no_capacity").when(F.col("calendar").isNull(), "no_calendar")
+    return huts.select("ohrs_id", "guids", "names", "on_tour", F.col("f.elevation").alias("elevation"), operator_of(F.col("f.club")).alias("operator"), region_of(F.col("lon")).alias("region"), "capacity", "lon", "lat", "approach_time_min", error.alias("error"))
+
+
+def unmatched_guids(tour_guids: DataFrame, features: DataFrame) -> DataFrame:
+    return tour_guids.select(F.upper("guid").alias("guid")).distinct().join(features.select(F.upper("guid").alias("guid")), "guid", "left_anti")
+
+
+def offset_treatments(series: DataFrame, offsets: tuple[int, ...] = (-3, -2, -1, 0, 1, 2, 3)) -> DataFrame:
+    """(k, ohrs_id, d, treat): the series at each signed offset."""
+    out = None
+    for k in offsets:
+        part = shifted(series, k).withColumnRenamed("shifted", "treat").withColumn("k", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def rank_share(effects: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(tours, observed, chance): how often the chosen hut (tour, a) has the most negative effect (tour, a, effect) of its tour's, and how often it would by chance; tours need two effects or more."""
+    best = effects.groupBy("tour").agg(F.min_by("a", F.struct("effect", "a")).alias("best"), F.count("*").alias("n"), F.collect_set("a").alias("fitted"))
+    usable = best.join(chosen.withColumnRenamed("a", "chosen"), "tour").where((F.col("n") >= 2) & F.array_contains("fitted", F.col("chosen")))
+    return usable.agg(F.count("*").alias("tours"), F.avg((F.col("best") == F.col("chosen")).cast("double")).alias("observed"), F.avg(1 / F.col("n")).alias("chance"))

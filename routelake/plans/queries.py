@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from routelake.fixtures import view, with_views
 from routelake.functions import geo, text, walking
-from routelake.operators import availability, grading, graph, legs, polyline, quality, routing, search, spatial, stats, study, trip
+from routelake.operators import analysis, availability, grading, graph, legs, mapping, polyline, quality, routing, search, spatial, stats, study, trip
 from routelake.schema import FAST_ANY, PARKING, STATION
 from routelake.sources import io
 from routelake.streaming import trips
@@ -762,6 +762,83 @@ def edge_percentiles(spark, sf_dir):
     return view(spark, sf_dir, "hut_edge").groupBy("sac_rank").agg(F.count("*").alias("n"), F.round(F.percentile("distance_m", F.lit(0.5)), 6).alias("median_m"), F.round(F.percentile("distance_m", F.lit(0.9)), 6).alias("p90_m"), F.count_if(F.col("ascent_m") > 600).alias("steep"))
 
 
+# Analyses
+
+ROAD_SQL = "road AS (SELECT *, distance_m * (edge_id % 5) / 4 AS road_m, CASE WHEN edge_id % 3 = 0 THEN 0.0 ELSE 120.0 END AS ungraded_m, CASE WHEN edge_id % 7 = 0 THEN 50.0 ELSE 0.0 END AS excluded_m, sac_rank AS max_rank FROM hut_edge)"
+
+
+def _roads(spark, sf_dir):
+    e = view(spark, sf_dir, "hut_edge")
+    return e.withColumns({"road_m": F.col("distance_m") * (F.col("edge_id") % 5) / 4, "ungraded_m": F.when(F.col("edge_id") % 3 == 0, 0.0).otherwise(120.0), "excluded_m": F.when(F.col("edge_id") % 7 == 0, 50.0).otherwise(0.0), "max_rank": F.col("sac_rank")})
+
+
+@query("SELECT COUNT(*) AS n, ROUND(SUM(road_m) / SUM(distance_m), 6) AS aggregate, ROUND(AVG(road_m / distance_m), 6) AS mean, ROUND(QUANTILE_CONT(road_m / distance_m, 0.75), 6) AS p75, COUNT(*) FILTER (WHERE road_m <= 0) AS road_free, COUNT(*) FILTER (WHERE road_m / distance_m >= 0.999) AS all_road, COUNT(*) FILTER (WHERE road_m / distance_m > 0.5) AS above_50 FROM road", "hut_edge", more=ROAD_SQL)
+def road_share(spark, sf_dir):
+    r = analysis.road_share(_roads(spark, sf_dir))
+    return r.select("n", r6("aggregate"), r6("mean"), F.round(F.col("percentiles")[3], 6).alias("p75"), "road_free", "all_road", "above_50")
+
+
+@query("SELECT sac_rank, COUNT(*) AS edges, ROUND(SUM(road_m) / SUM(distance_m), 6) AS aggregate, ROUND(MEDIAN(road_m / distance_m), 6) AS median FROM road GROUP BY sac_rank", "hut_edge", more=ROAD_SQL)
+def road_share_by_rank(spark, sf_dir):
+    return analysis.road_share_by_rank(_roads(spark, sf_dir)).select("sac_rank", "edges", r6("aggregate"), r6("median"))
+
+
+@query(
+    "SELECT r.rule, COUNT(e.edge_id) AS edges, COUNT(DISTINCT CASE WHEN e.edge_id IS NOT NULL THEN h.hut END) AS connected FROM (VALUES ('budget', 99, FALSE), ('cap_2', 2, FALSE), ('cap_3', 3, FALSE), ('cap_2_graded', 2, TRUE), ('cap_3_graded', 3, TRUE)) r(rule, cap, strict) LEFT JOIN road e ON e.distance_m <= 12000 AND (r.cap = 99 OR (NOT e.via_ferrata AND e.sac_rank <= r.cap)) AND (NOT r.strict OR (e.ungraded_m <= 0 AND e.excluded_m <= 0 AND e.max_rank <= r.cap)) LEFT JOIN LATERAL (SELECT UNNEST([e.from_id, e.to_id]) AS hut) h ON TRUE GROUP BY r.rule",
+    "hut_edge",
+    more=ROAD_SQL,
+)
+def connectivity_gate(spark, sf_dir):
+    gate = analysis.connectivity_gate(_roads(spark, sf_dir), 12_000.0)
+    return gate.select("rule", (2 * F.col("edges")).alias("edges"), "connected")
+
+
+@query("SELECT v.rec, v.pos, ROUND(k.ele, 3) AS ele FROM vertex v LEFT JOIN (SELECT x, y, ARG_MIN(e, ord) AS e, MIN(ord) AS o, ARG_MIN(e, ord) AS ele FROM (SELECT CAST(ROUND_EVEN(lon / 1e-7, 0) AS BIGINT) AS x, CAST(ROUND_EVEN(lat / 1e-7, 0) AS BIGINT) AS y, 1000.0 + rec % 700 AS e, rec * 100 + pos AS ord FROM vertex WHERE rec % 3 = 0) p GROUP BY x, y) k ON k.x = CAST(ROUND_EVEN(v.lon / 1e-7, 0) AS BIGINT) AND k.y = CAST(ROUND_EVEN(v.lat / 1e-7, 0) AS BIGINT)", "vertex")
+def elevation_lookup(spark, sf_dir):
+    v = view(spark, sf_dir, "vertex")
+    known = v.where("rec % 3 = 0").select("lon", "lat", (1000.0 + F.col("rec") % 700).alias("ele"), (F.col("rec") * 100 + F.col("pos")).alias("ord"))
+    return polyline.with_elevations(v, known).select("rec", "pos", F.round("ele", 3).alias("ele"))
+
+
+@query(None)
+def segment_grades(spark, sf_dir):
+    v = view(spark, sf_dir, "vertex")
+    line = Window.partitionBy("rec").orderBy("pos")
+    s = v.withColumns({"lon2": F.lead("lon").over(line), "lat2": F.lead("lat").over(line)}).where("lon2 IS NOT NULL AND rec % 2 = 0")
+    lookup = analysis.strictest_segments(s.select(F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "lon2", "lat2", (F.col("rec") % 3).cast("int").alias("tier"), (F.col("rec") % 5 - 1).cast("int").alias("sac_rank"), (F.col("rec") % 7 == 0).alias("excluded")))
+    return analysis.attributed(v, lookup).select("rec", *[F.round(c, 3).alias(c) for c in ("total_m", "explicit_m", "inferred_m", "ungraded_m", "excluded_m", "unmatched_m")], "max_rank")
+
+
+@query("SELECT variant, COUNT(*) AS records, COUNT(*) FILTER (WHERE start_id % 10 = 0 OR hut_id % 10 = 0) AS touching FROM start_record GROUP BY variant", "start_record")
+def edge_impact(spark, sf_dir):
+    r = view(spark, sf_dir, "start_record").select("variant", "edge_id", F.col("start_id").alias("from_id"), F.col("hut_id").alias("to_id"))
+    hubs = r.select(F.col("from_id").alias("hub_id")).union(r.select("to_id")).where("hub_id % 10 = 0")
+    return analysis.edge_impact(r, hubs)
+
+
+@query(None)
+def nearest_starts(spark, sf_dir):
+    s = view(spark, sf_dir, "start_record").select("hut_id", "start_type", "distance_m", "access", "edge_id")
+    return analysis.k_best(s, 3)
+
+
+@query("SELECT hub_type AS stratum_type, COUNT(*) AS n, ROUND(LEAST(34.0, GREATEST(12.0, 9 + 3.5 * SQRT(COUNT(*)))), 6) AS radius FROM hub GROUP BY hub_type", "hub")
+def bubble_sizes(spark, sf_dir):
+    return view(spark, sf_dir, "hub").groupBy(F.col("hub_type").alias("stratum_type")).agg(F.count("*").alias("n")).select("stratum_type", "n", F.round(mapping.bubble_radius(F.col("n")), 6).alias("radius"))
+
+
+@query(None)
+def map_clusters(spark, sf_dir):
+    return mapping.clusters(view(spark, sf_dir, "hub"), [6, 10]).select("zoom", "x", "y", "n", r6("lon"), r6("lat"))
+
+
+@query(None)
+def tour_boards(spark, sf_dir):
+    tours, _ = _search(spark, sf_dir, search.Query(legs_max=3))
+    names = view(spark, sf_dir, "hub").where("hub_type > 0").select(F.col("hub_id").alias("start_id"), "name")
+    return mapping.boards(tours.withColumn("tour_id", F.concat_ws("-", "place")), names)
+
+
 # Text, links, JSON
 
 
