@@ -87,11 +87,11 @@ def way_grading(spark, sf_dir):
 
 
 @query(
-    f"SELECT tier, sac_rank, CAST(SUM(length_m) AS DOUBLE) AS length_m, COUNT(*) AS ways FROM (SELECT CASE WHEN {RANK_SQL} IS NOT NULL THEN 'explicit' WHEN {IMPLIED_SQL} IS NOT NULL THEN 'inferred' ELSE 'ungraded' END AS tier, CAST(COALESCE({RANK_SQL}, {IMPLIED_SQL}, -1) AS INT) AS sac_rank, length_m FROM way) t GROUP BY ROLLUP (tier, sac_rank)",
+    f"SELECT tier, CAST(sac_rank AS VARCHAR) AS sac_rank, CAST(SUM(length_m) AS DOUBLE) AS length_m, COUNT(*) AS ways FROM (SELECT CASE WHEN {RANK_SQL} IS NOT NULL THEN 'explicit' WHEN {IMPLIED_SQL} IS NOT NULL THEN 'inferred' ELSE 'ungraded' END AS tier, CAST(COALESCE({RANK_SQL}, {IMPLIED_SQL}, -1) AS INT) AS sac_rank, length_m FROM way) t GROUP BY ROLLUP (tier, sac_rank)",
     "way",
 )
 def tier_mass(spark, sf_dir):
-    return grading.tier_mass(view(spark, sf_dir, "way"))
+    return grading.tier_mass(view(spark, sf_dir, "way")).withColumn("sac_rank", F.col("sac_rank").cast("string"))
 
 
 @query(
@@ -103,14 +103,14 @@ def exclusion_reasons(spark, sf_dir):
 
 
 @query(
-    "SELECT kind, serviced, region, COUNT(*) AS huts FROM (SELECT CASE WHEN c IN (20, 60) THEN CASE WHEN k IN (8, 5, 3) THEN 'av' ELSE 'sonstige' END WHEN k IN (8, 5, 3) THEN 'av' WHEN k IN (19, 9, 17, 16) THEN 'partner' ELSE 'sonstige' END AS kind, "
+    "SELECT kind, CAST(serviced AS VARCHAR) AS serviced, region, COUNT(*) AS huts FROM (SELECT CASE WHEN c IN (20, 60) THEN CASE WHEN k IN (8, 5, 3) THEN 'av' ELSE 'sonstige' END WHEN k IN (8, 5, 3) THEN 'av' WHEN k IN (19, 9, 17, 16) THEN 'partner' ELSE 'sonstige' END AS kind, "
     "CASE WHEN c IN (20, 60) THEN FALSE WHEN k IN (8, 5, 3) THEN TRUE WHEN k IN (19, 9, 17, 16) THEN NULL ELSE TRUE END AS serviced, CASE WHEN lon < 10.5 THEN 'west' WHEN lon < 12.5 THEN 'central' ELSE 'east' END AS region FROM (SELECT lon, (hub_id % 7) * 10 AS c, hub_id % 20 AS k FROM hub) h) g GROUP BY kind, serviced, region",
     "hub",
 )
 def hub_classes(spark, sf_dir):
     h = view(spark, sf_dir, "hub")
     kind, serviced = grading.hut_class((F.col("hub_id") % 7) * 10, F.col("hub_id") % 20)
-    return h.select(kind.alias("kind"), serviced.alias("serviced"), grading.region_of(F.col("lon")).alias("region")).groupBy("kind", "serviced", "region").agg(F.count("*").alias("huts"))
+    return h.select(kind.alias("kind"), serviced.cast("string").alias("serviced"), grading.region_of(F.col("lon")).alias("region")).groupBy("kind", "serviced", "region").agg(F.count("*").alias("huts"))
 
 
 BOX, TILE_KM = (9.0, 46.0, 17.0, 49.0), 60.0
@@ -714,12 +714,12 @@ def _nation_tours(spark, sf_dir):
 
 
 @query(
-    "SELECT tour, CAST(n AS INT) AS n_huts, COUNT(*) AS n_eligible, CASE WHEN COUNT(*) >= 3 THEN ARG_MIN(h, r) END AS bottleneck, CASE WHEN COUNT(*) >= 3 THEN CAST(MIN(capacity) AS DOUBLE) END AS capacity, CASE WHEN COUNT(*) >= 3 THEN ROUND(MIN(capacity) / MEDIAN(capacity), 6) END AS ratio, COUNT(*) >= 3 AND MIN(capacity) / MEDIAN(capacity) <= 0.7 AS qualifies FROM (SELECT e.tour, e.n, e.h, c.capacity, ROW_NUMBER() OVER (PARTITION BY e.tour ORDER BY c.capacity, c.sold_out_share DESC, e.h) AS r FROM (SELECT tour, len(huts) AS n, UNNEST(huts) AS h FROM tours) e JOIN huts c ON c.ohrs_id = e.h) x GROUP BY tour, n",
+    "SELECT tour, CAST(n AS INT) AS n_huts, COUNT(*) AS n_eligible, CAST(CASE WHEN COUNT(*) >= 3 THEN ARG_MIN(h, r) END AS VARCHAR) AS bottleneck, CASE WHEN COUNT(*) >= 3 THEN CAST(MIN(capacity) AS DOUBLE) END AS capacity, CASE WHEN COUNT(*) >= 3 THEN ROUND(MIN(capacity) / MEDIAN(capacity), 6) END AS ratio, COUNT(*) >= 3 AND MIN(capacity) / MEDIAN(capacity) <= 0.7 AS qualifies FROM (SELECT e.tour, e.n, e.h, c.capacity, ROW_NUMBER() OVER (PARTITION BY e.tour ORDER BY c.capacity, c.sold_out_share DESC, e.h) AS r FROM (SELECT tour, len(huts) AS n, UNNEST(huts) AS h FROM tours) e JOIN huts c ON c.ohrs_id = e.h) x GROUP BY tour, n",
     "hub",
     more=NATION_SQL,
 )
 def bottleneck_candidates(spark, sf_dir):
-    return study.candidates(_nation_tours(spark, sf_dir), _huts(spark, sf_dir)).select("tour", "n_huts", "n_eligible", "bottleneck", "capacity", r6("ratio"), "qualifies")
+    return study.candidates(_nation_tours(spark, sf_dir), _huts(spark, sf_dir)).select("tour", "n_huts", "n_eligible", F.col("bottleneck").cast("string").alias("bottleneck"), "capacity", r6("ratio"), "qualifies")
 
 
 def _panel(spark, sf_dir):
@@ -869,10 +869,10 @@ def json_props(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"))
 
 
-@query("SELECT date_trunc('hour', ts) AS since, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS value FROM events GROUP BY 1, 2")
+@query("SELECT CAST(CAST(date_trunc('hour', ts) AS TIMESTAMP) AS VARCHAR) AS since, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS value FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return trips.event_windows(e).select(F.col("since").cast("timestamp_ntz").alias("since"), "event_type", "n", F.round("value", 4).alias("value"))
+    return trips.event_windows(e).select(F.col("since").cast("timestamp_ntz").cast("string").alias("since"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 @query(None)
