@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelake.schema import variant_passes, variants
+from routelake.schema import VARIANTS, variant_passes
 
 #: Fixed values of the tag scheme.
 SAC_RANK = {"strolling": 0, "hiking": 1, "mountain_hiking": 2, "demanding_mountain_hiking": 3, "alpine_hiking": 4, "demanding_alpine_hiking": 5, "difficult_alpine_hiking": 6}
@@ -66,8 +66,10 @@ def tier_mass(ways: DataFrame) -> DataFrame:
 
 
 def by_variant(edges: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Each edge once for every variant it may be used under; the dimension has four rows."""
-    return edges.crossJoin(F.broadcast(variants(edges.sparkSession, names))).where(variant_passes())
+    """Each edge once for every variant it may be used under; ord is the place of the variant among names."""
+    chosen = VARIANTS if not names else [v for n in names for v in VARIANTS if v[1] == n]
+    rows = [F.struct(F.lit(v[0]).alias("variant"), F.lit(v[1]).alias("variant_name"), F.lit(v[2]).cast("int").alias("max_sac_rank"), F.lit(v[3]).alias("require_graded"), F.lit(v[4]).alias("allow_ungraded"), F.lit(i).alias("ord")) for i, v in enumerate(chosen)]
+    return edges.select("*", F.explode(F.array(*rows)).alias("v_")).select(*edges.columns, "v_.*").where(variant_passes())
 
 
 def segments(ways: DataFrame) -> DataFrame:
