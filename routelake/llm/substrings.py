@@ -215,7 +215,8 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFra
             yield from close()
 
     pieces = docs.mapInArrow(tidy("substrings", split), "bucket int, packed binary")
-    met = pieces.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    # Buckets are dealt in turn, as hashing so few numbers would give some partitions twice the mean.
+    met = pieces.repartitionById(partitions(docs.sparkSession), F.col("bucket")).sortWithinPartitions("bucket")
     return met.mapInArrow(tidy("substrings", count), "id long, fp long, start int, n int")
 
 
