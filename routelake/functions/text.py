@@ -35,15 +35,15 @@ def day_month(day: Column) -> Column:
 
 
 def signpost_time(hours: Column) -> Column:
-    """Quarter hours as on signposts: 2¼ h."""
+    """Quarter hours as on signposts: 2¼ Std."""
     quarters = F.floor(hours * 4 + 0.5).cast("long")
     whole, rest = F.floor(quarters / 4).cast("long"), F.pmod(quarters, F.lit(4))
     part = F.element_at(F.array(*map(F.lit, ("", "¼", "½", "¾"))), (rest + 1).cast("int"))
-    return F.concat(F.when((whole > 0) | (rest == 0), whole.cast("string")).otherwise(""), part, F.lit(" h"))
+    return F.concat(F.when((whole > 0) | (rest == 0), whole.cast("string")).otherwise(""), part, F.lit(" Std"))
 
 
 def kilometres(metres: Column) -> Column:
-    return F.concat(F.translate(F.format_number(metres / 1000, 1), ",.", ".,"), F.lit(" km"))
+    return F.format_string("%.1f km", metres / 1000)
 
 
 def metres(value: Column) -> Column:
@@ -62,7 +62,8 @@ def from_share_code(code: Column) -> Column:
 
 
 def booking_link(base: Column, ohrs_id: Column, day: Column) -> Column:
-    return F.concat(base, F.lit("?hutId="), ohrs_id.cast("string"), F.lit("&arrival="), german_date(day))
+    """Link to book one night of a hut from a day on."""
+    return F.concat(base, F.lit("/"), ohrs_id.cast("string"), F.lit("/wizard?dateFrom="), german_date(day), F.lit("&dateTo="), german_date(F.date_add(day, 1)))
 
 
 def tour_key(start: Column, huts: Column, exit_: Column) -> Column:

@@ -94,7 +94,7 @@ def usable_start() -> Column:
 
 
 def operator_of(club: Column) -> Column:
-    return F.when(club == 8, "OeAV").when(club == 5, "DAV").when(club == 3, "AVS").otherwise("other")
+    return F.when(club == 8, "OEAV").when(club == 5, "DAV").otherwise("other")
 
 
 def region_of(lon: Column) -> Column:

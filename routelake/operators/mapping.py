@@ -57,7 +57,7 @@ def boards(tours: DataFrame, names: DataFrame) -> DataFrame:
     rows = tours.join(a, "start_id", "left").join(b, "exit_start_id", "left")
     loop = F.col("start_id") == F.col("exit_start_id")
     route = F.when(loop, F.concat(F.lit("Rundtour ab "), "a")).otherwise(F.concat("a", F.lit(" → "), "b"))
-    far, up = kilometres(F.col("total_distance_m")), F.concat(metres(F.col("total_ascent_m")), F.lit(" ↑"))
+    far, up = kilometres(F.col("total_distance_m")), F.concat(F.lit("↑ "), metres(F.col("total_ascent_m")))
     return rows.select("tour_id", far.alias("text"), up.alias("detail"), loop.alias("round_trip"), F.concat_ws(" · ", route, far, up, signpost_time(F.col("total_h"))).alias("title"))
 
 

@@ -63,7 +63,7 @@ def nearest_edge_points(hubs: DataFrame, segments: DataFrame, radius_m: float, s
 
 
 def snap(hubs: DataFrame, nodes: DataFrame, segments: DataFrame, radius_m: float = 100.0, rise_m: float = 25.0, slack_m: float = 1.0) -> DataFrame:
-    """Hubs (hub_type, hub_id, lon, lat, ele) on nodes (node_id, lon2, lat2, ele2) or segments (with ele_a, ele_b): kind node, edge or rejected, with gap, vertical gap and reason. A node wins over an edge that is less than slack_m nearer."""
+    """Hubs (hub_type, hub_id, lon, lat, ele) on nodes (node_id, lon2, lat2, ele2) or segments (with ele_a, ele_b): kind node, edge or rejected, with gap, vertical gap and reason; an unknown height rejects nothing. A node wins over an edge that is less than slack_m nearer."""
     node = nearest(hubs, nodes, radius_m, ["hub_type", "hub_id"], [F.col("distance_m"), F.col("node_id")]).select("hub_type", "hub_id", "node_id", F.col("distance_m").alias("node_gap"), F.col("ele2").alias("node_ele"))
     edge = nearest_edge_points(hubs, segments, radius_m).where("rank = 1").drop("rank")
     edge = edge.join(segments.select("edge_id", "seg", "ele_a", "ele_b"), ["edge_id", "seg"]).withColumn("edge_ele", F.col("ele_a") + (F.col("ele_b") - F.col("ele_a")) * F.col("t")).drop("ele_a", "ele_b")
@@ -71,9 +71,9 @@ def snap(hubs: DataFrame, nodes: DataFrame, segments: DataFrame, radius_m: float
     use_node = F.col("node_gap").isNotNull() & (F.col("gap_m").isNull() | (F.col("node_gap") <= F.col("gap_m") + slack_m))
     out = out.withColumns({"target": F.when(use_node, "node").when(F.col("gap_m").isNotNull(), "edge"), "gap": F.when(use_node, F.col("node_gap")).otherwise(F.col("gap_m"))})
     out = out.withColumn("dz_m", F.when(F.col("target") == "node", F.col("node_ele")).otherwise(F.col("edge_ele")) - F.col("ele"))
-    reason = F.when(F.col("target").isNull(), "no_trail_within_reach").when(F.abs("dz_m") > rise_m, "vertical_offset").when(F.col("ele").isNull(), "no_elevation")
+    reason = F.when(F.col("target").isNull(), "gap_too_far").when(F.abs("dz_m") > rise_m, "vertical_offset")
     out = out.withColumn("reason", reason)
-    return out.select("hub_type", "hub_id", F.when(F.col("reason").isNull() | (F.col("reason") == "no_elevation"), F.col("target")).otherwise("rejected").alias("kind"), "node_id", "edge_id", "seg", "t", F.col("gap").alias("gap_m"), "dz_m", "reason")
+    return out.select("hub_type", "hub_id", F.when(F.col("reason").isNull(), F.col("target")).otherwise("rejected").alias("kind"), "node_id", "edge_id", "seg", "t", F.col("gap").alias("gap_m"), "dz_m", "reason")
 
 
 def stops_once(stops: DataFrame, radius_m: float = 40.0) -> DataFrame:

@@ -847,11 +847,11 @@ def doc_name_norm(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalised(F.col("text")).alias("plain"))
 
 
-@query("SELECT s_suppkey, 'Hut ' || s_suppkey || '?hutId=' || s_suppkey || '&arrival=' || strftime(DATE '2026-06-01' + CAST(s_suppkey % 90 AS INT), '%d.%m.%Y') AS link, CAST(CAST(FLOOR(s_acctbal / 4) AS BIGINT) AS VARCHAR) AS quarter FROM supplier")
+@query("SELECT s_suppkey, 'book/' || s_suppkey || '/wizard?dateFrom=' || strftime(DATE '2026-06-01' + CAST(s_suppkey % 90 AS INT), '%d.%m.%Y') || '&dateTo=' || strftime(DATE '2026-06-02' + CAST(s_suppkey % 90 AS INT), '%d.%m.%Y') AS link, CAST(CAST(FLOOR(s_acctbal / 4) AS BIGINT) AS VARCHAR) AS quarter FROM supplier")
 def booking_links(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     day = F.date_add(F.lit("2026-06-01").cast("date"), (F.col("s_suppkey") % 90).cast("int"))
-    return s.select("s_suppkey", text.booking_link(F.concat(F.lit("Hut "), F.col("s_suppkey")), F.col("s_suppkey"), day).alias("link"), F.floor(F.col("s_acctbal") / 4).cast("long").cast("string").alias("quarter"))
+    return s.select("s_suppkey", text.booking_link(F.lit("book"), F.col("s_suppkey"), day).alias("link"), F.floor(F.col("s_acctbal") / 4).cast("long").cast("string").alias("quarter"))
 
 
 @query("SELECT s_suppkey AS id, s_nationkey AS start_id, rtrim(replace(replace(to_base64(encode('{\"v\":1,\"t\":{\"start_type\":1,\"start_id\":' || s_nationkey || ',\"exit_id\":' || s_nationkey || ',\"huts\":[' || s_suppkey || '],\"party\":2}}')), '+', '-'), '/', '_'), '=') AS code FROM supplier")

@@ -87,7 +87,7 @@ def test_linked_huts(spark):
     guids = spark.createDataFrame([("{A}",), ("{X}",)], "guid string")
     minutes = spark.createDataFrame([("{b}", 90), ("{a}", 120)], "guid string, minutes int")
     got = {r.ohrs_id: r for r in study.linked(features, info, guids, minutes, info.select("ohrs_id")).collect()}
-    assert got[1].on_tour and got[1].error is None and got[1].approach_time_min == 90 and got[1].operator == "OeAV" and got[1].region == "central"
+    assert got[1].on_tour and got[1].error is None and got[1].approach_time_min == 90 and got[1].operator == "OEAV" and got[1].region == "central"
     assert got[2].error == "self_service" and got[3].error == "no_capacity" and [r.guid for r in study.unmatched_guids(guids, features).collect()] == ["{X}"]
 
 

@@ -80,6 +80,14 @@ def test_bucket_join_is_exact(spark):
     assert got == {(p[0], q[0]) for p in a for q in b if metres(p, q) <= 9000}
 
 
+def test_snap(spark):
+    hubs = spark.createDataFrame([(0, 1, 11.0, 47.0, 1000.0), (0, 2, 11.001, 47.0003, 1000.0), (0, 3, 12.0, 47.0, 1000.0), (0, 4, 11.0, 47.0, 1100.0)], "hub_type int, hub_id long, lon double, lat double, ele double")
+    nodes = spark.createDataFrame([(7, 11.0, 47.00001, 1005.0)], "node_id long, lon2 double, lat2 double, ele2 double")
+    segments = spark.createDataFrame([(5, 0, 11.0, 47.00001, 11.002, 47.00001, 1005.0, 1015.0)], "edge_id long, seg int, lon_a double, lat_a double, lon_b double, lat_b double, ele_a double, ele_b double")
+    got = {r.hub_id: (r.kind, r.reason) for r in spatial.snap(hubs, nodes, segments).collect()}
+    assert got == {1: ("node", None), 2: ("edge", None), 3: ("rejected", "gap_too_far"), 4: ("rejected", "vertical_offset")}
+
+
 def test_stops_once(spark):
     stops = spark.createDataFrame([(1, "A", True, 11.0, 47.0), (2, "A", False, 11.0001, 47.0), (3, "A", False, 11.1, 47.0), (4, "B", False, 11.0, 47.0), (5, None, False, 11.0, 47.0)], "id int, name string, is_position boolean, lon double, lat double")
     assert sorted(r.id for r in spatial.stops_once(stops).collect()) == [2, 3, 4, 5]
@@ -218,7 +226,7 @@ def test_links_and_columns(spark):
 
 def test_text(spark):
     r = spark.range(1).select(text.signpost_time(F.lit(2.3)), text.signpost_time(F.lit(0.5)), text.kilometres(F.lit(12345.0)), text.metres(F.lit(1234)), text.number_of_feature(F.lit("n123")), text.guids(F.lit("x {ab} {cd}")), text.normalised(F.lit("Groß-Venediger 1!"))).first()
-    assert tuple(r) == ("2¼ h", "½ h", "12,3 km", "1.234 m", 123, ["{AB}", "{CD}"], "großvenediger1")
+    assert tuple(r) == ("2¼ Std", "½ Std", "12.3 km", "1.234 m", 123, ["{AB}", "{CD}"], "großvenediger1")
 
 
 def test_geojson(spark, tmp_path):
