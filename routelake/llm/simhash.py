@@ -11,6 +11,8 @@ fingerprints of a text's set of words find its candidates by the same grid, at u
 similarity of 0.8 on five-word shingles reach with a chance above 0.99; their sets of shingles then decide.
 
 Distinct fingerprints are searched, so exact copies cost one row. A cell gives a spanning forest of its links, never its pairs.
+one_of_each() compares in rounds instead: members of a cell with all behind them, those nearest to the others first, until no pair
+of two components is left in any cell; pairs that are joined already need no comparison, so groups stay near linear.
 
 Defined cases: a text without words (null, empty, only white space) has the fingerprint zero, which is linked like any other; fewer
 words than a shingle are one shingle; repeated rows stay repeated and share a class; an empty table gives no rows; other columns
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
 # Groups of similar texts: fingerprints find candidates, shingles decide.
 
 FINGERPRINTS, SIMILAR_WORDS, SIMILAR, SKETCH = 3, 5, 0.8, 384
-PROFILE = "doc_id long, text_hash long, text_hash2 long, fps array<long>, sketch binary"
+PROFILE = "doc_id long, text_hash long, text_hash2 long, keys array<long>, mark long, size int, sketch binary"
 
 
 def remixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -308,54 +310,92 @@ def nearest_in_cells(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.nd
         step += 1
 
 
+def cell_keys(texts: list, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The cells of each text's fingerprints, and its first fingerprint."""
+    fps = word_set_fingerprints(texts, n)
+    owner, key = (np.concatenate(x) for x in zip(*[(i, c | np.int64(t << 40)) for t in range(n) for i, c in [cells(np.ascontiguousarray(fps[:, t]))]], strict=True))
+    order = np.argsort(owner, kind="stable")
+    return np.split(key[order], np.searchsorted(owner[order], np.arange(1, len(texts)))), fps[:, 0]
+
+
 def profiles(docs: DataFrame, n: int = FINGERPRINTS, words: int = SIMILAR_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             texts = batch.column(1).to_pylist()
-            fps = word_set_fingerprints(texts, n).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(texts) + 1, n), pa.int32()), pa.array(fps.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists, pa.array([sketch_of(t, words) for t in texts], pa.binary())], [c.split()[0] for c in PROFILE.split(", ")])
+            keys, marks = cell_keys(texts, n)
+            sizes = [len(set(shingle_hashes(t, words))) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(keys, pa.list_(pa.int64())), pa.array(marks.view(np.int64)), pa.array(sizes, pa.int32()), pa.array([sketch_of(t, words) for t in texts], pa.binary())], [c.split()[0] for c in PROFILE.split(", ")])
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(SEED), text).alias("text_hash2")).mapInArrow(tidy("simhash", run), PROFILE)
 
 
-def candidate_links(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
-    """Links (a, b) of classes (id, fps): for each cell a minimum spanning forest of its pairs that differ in few bits of one fingerprint."""
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, fps = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
-            for lo in range(0, len(ids), 8000):
-                for t in range(fps.shape[1]):
-                    fp = np.ascontiguousarray(fps[lo : lo + 8000, t])
-                    index, cell = cells(fp.view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(cell | np.int64(t << 40)), pa.array(fp[index]), pa.array(ids[lo : lo + 8000][index])], ["cell", "fp", "id"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, fp, ids = (np.empty(0, np.int64) for _ in range(3))
-
-        def links(cell, fp, ids):
-            a, b = nearest_in_cells(cell, fp.view(np.uint64), bits)
-            x = np.unique(np.sort(np.stack([ids[a], ids[b]], 1), axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+def centred(key: np.ndarray, ids: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, count) of rows sorted by key: within runs of a key the ones nearest to all others by differing bits come first; each row has its run's first place and count."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    ones = bit_sums(mark, starts)
+    run, far = np.repeat(np.arange(len(starts)), sizes), np.empty(len(key), np.int64)
+    for lo in range(0, len(key), 50_000):
+        r = run[lo : lo + 50_000]
+        bits = np.unpackbits(mark[lo : lo + 50_000].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        far[lo : lo + 50_000] = np.where(bits, sizes[r, None] - ones[r], ones[r]).sum(axis=1)
+    return np.lexsort((ids, far, run)), np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+
+MET = "a long, b long, key long, mark long, size int"
+
+
+def met(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
+    """For rows (key, id, mark, size, label): pairs (a, b) of the members in places low to high of each key with those behind them, of another label and sizes that a similarity of `least` allows; then the rows, as a, of keys with members behind the places."""
+    names = [c.split()[0] for c in MET.split(", ")]
+
+    def out(a, b=None, key=None, mark=None, size=None):
+        n = len(a)
+        cast = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+        return pa.RecordBatch.from_arrays([pa.array(a), cast(b, pa.int64()), cast(key, pa.int64()), cast(mark, pa.int64()), cast(size, pa.int32())], names)
+
+    def pairs(key, ids, mark, size, label):
+        order, first, count = centred(key, ids, mark.view(np.uint64))
+        key, ids, mark, size, label = (x[order] for x in (key, ids, mark, size, label))
+        starts = np.flatnonzero(first == np.arange(len(key)))
+        mixed = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), count[starts])
+        alive = np.flatnonzero(mixed & (count > low + 1))
+        for i in range(low, high):
+            alive = alive[(alive - first[alive] > i) & (count[alive] > i + 1)]
+            if not len(alive):
+                break
+            c = first[alive] + i
+            good = (label[c] != label[alive]) & (np.minimum(size[c], size[alive]) >= least * np.maximum(size[c], size[alive]) - 1e-9)
+            a, b = ids[c[good]], ids[alive[good]]
+            if len(a):
+                yield out(np.minimum(a, b), np.maximum(a, b))
+        if (rest := mixed & (count > high + 1)).any():
+            yield out(ids[rest], None, key[rest], mark[rest], size[rest])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            cell, fp, ids = (np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate((cell, fp, ids)))
-            whole = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
-            if whole:
-                yield links(cell[:whole], fp[:whole], ids[:whole])
-                cell, fp, ids = cell[whole:], fp[whole:], ids[whole:]
-        if len(cell):
-            yield links(cell, fp, ids)
+            if not len(batch):
+                continue
+            new = [c.to_numpy() for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if whole := int(np.searchsorted(held[0], held[0][-1])):  # the last key may go on
+                yield from pairs(*(x[:whole] for x in held))
+                held = [x[whole:] for x in held]
+        if held is not None:
+            yield from pairs(*held)
 
-    visits = classes.mapInArrow(tidy("simhash", visit), "cell long, fp long, id long")
-    met = visits.repartition(partitions(classes.sparkSession), "cell").sortWithinPartitions("cell", "fp", "id")
-    return met.mapInArrow(tidy("simhash", meet), "a long, b long").distinct()
+    rows = rows.select("key", "id", "mark", "size", "label").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "id")
+    return rows.mapInArrow(tidy("simhash", run), MET)
 
 
 def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(profiles of the rows with class id, components of classes). Texts of a component are linked by a similarity of at least `least` on shingles of so many words; equal texts are one class."""
+    """(profiles of the rows with class id, components of classes). Texts of a component are linked by a similarity of at least `least` on shingles of so many words; equal texts are one class.
+
+    Each round compares some members of each key with the rest of it; pairs that are in one component already are left out, and rounds go on until no pair of two components is left."""
 
     def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,14 +404,32 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
 
     marked = written(profiles(docs, words=words).withColumn("row", F.monotonically_increasing_id()))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    classes = written(marked.groupBy("text_hash", "text_hash2").agg(F.min(key).alias("first"), F.first("fps").alias("fps")).select("text_hash", "text_hash2", F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc_id"), "fps"))
-    links = written(candidate_links(classes.select("id", "fps")))
-    involved = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sketches = written(marked.select(F.col("row").alias("id"), "sketch").join(involved, "id", "left_semi"))
-    pairs = links.join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
-    found = components(pairs.mapInArrow(tidy("simhash", fine), "a long, b long"))
-    forget(links, sketches)
-    found._made_of = [*found._made_of, marked]
+    firsts = [F.first(c).alias(c) for c in ("keys", "mark", "size")]
+    classes = written(marked.groupBy("text_hash", "text_hash2").agg(F.min(key).alias("first"), *firsts).select("text_hash", "text_hash2", F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc_id"), "keys", "mark", "size"))
+    sketches = marked.select(F.col("row").alias("id"), "sketch")
+    rows = classes.select(F.explode("keys").alias("key"), "id", "mark", "size", F.col("id").alias("label"))
+    found, tested, low, high, old = components(classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), [], 0, 1, []
+    while True:
+        step = written(met(rows, low, high, least))
+        new = step.where("b IS NOT NULL").select("a", "b").distinct()
+        for before in tested:
+            new = new.join(before, ["a", "b"], "left_anti")
+        new = written(new)
+        tested.append(new)
+        pairs = new.join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
+        good = written(pairs.mapInArrow(tidy("simhash", fine), "a long, b long"))
+        if not good.isEmpty():
+            joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(good))
+            forget(found)
+            found = joined
+        forget(good, *old[:1])
+        old = [step]
+        rest = step.where("b IS NULL")
+        if rest.isEmpty():
+            break
+        rows = rest.select("key", F.col("a").alias("id"), "mark", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+        low, high = high, 8 * high
+    found._made_of = [*found._made_of, marked, step, *tested]
     return classes, found
 
 
