@@ -25,3 +25,11 @@ def test_star_of_copies(spark):
             w[k + rng.randrange(-14, 15)] = f"x{rng.randrange(10**6)}"
         rows.append((i, w))
     assert kept(spark, rows) == {0}
+
+
+def test_block_edits(spark):
+    """A block added to copies: similarities of 0.80 and 0.79."""
+    rng = random.Random(9)
+    texts = [prose(rng, 204) for _ in range(100)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t + prose(rng, 50 if i % 2 else 53)) for i, t in enumerate(texts)]
+    assert kept(spark, rows) == {*range(100), *range(1000, 1100, 2)}
