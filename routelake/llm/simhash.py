@@ -8,7 +8,7 @@ a cell. There all bits are compared. Nothing is sampled or capped: the search is
 
 near_duplicates() links fingerprints by their bits alone. one_of_each() links texts by the similarity of their shingles: the least
 hashes of a text's set of shingles, in bands, find its candidates. A pair of similarity 0.8 shares no band with a chance of 4e-7,
-less above, whatever the edit. Their sets of shingles then decide.
+less above, whatever the edit. Their whole sets of shingles then decide, whatever the length.
 
 Distinct fingerprints are searched, so exact copies cost one row. A cell gives a spanning forest of its links, never its pairs.
 one_of_each() compares in rounds instead: members of a band's key with all behind them, those nearest to the others first, until no
@@ -212,10 +212,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
 
 # Groups of similar texts: bands of least hashes find candidates, shingles decide.
 
-SIMILAR_WORDS, SIMILAR, SKETCH = 5, 0.8, 384
+SIMILAR_WORDS, SIMILAR, HELD_SETS = 5, 0.8, 64
 #: A pair of similarity s shares no key with a chance of (1 - s ** BAND_ROWS) ** BANDS: 4e-7 at 0.8, 1.5e-8 at 0.83, whatever was edited.
 BANDS, BAND_ROWS = 28, 4
-PROFILE = "doc_id long, text_hash long, text_hash2 long, keys array<long>, mark long, size int, sketch binary"
+PROFILE = "doc_id long, text_hash long, text_hash2 long, keys array<long>, mark long, size int"
 
 
 def remixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -225,20 +225,15 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def sketch_of(text: str | None, words: int = SIMILAR_WORDS, size: int = SKETCH) -> bytes:
-    """The least hashes of the set of shingles: the whole set up to size, else a bottom-k sketch."""
-    return np.unique(np.array(shingle_hashes(text, words), np.uint64) & np.uint64(0xFFFFFFFF))[:size].astype("<u4").tobytes()
+def shingle_set(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct shingle hashes of a text, all of them."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
-def sketch_similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity of two sets of shingles: exact while both are whole, else from the least hashes of their union."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)
-    if not len(both):
-        return 1.0
-    if max(len(x), len(y)) >= size:
-        both = both[:size]
-    return float((np.isin(both, x) & np.isin(both, y)).mean())
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two whole sets of shingles."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
 def least_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -322,10 +317,10 @@ def profiles(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
             if not len(batch):
                 continue
             texts = batch.column(1).to_pylist()
-            sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts]
+            sets = [shingle_set(t, words) for t in texts]
             keys, marks = band_keys(sets)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists, pa.array(marks), pa.array([len(h) for h in sets], pa.int32()), pa.array([sketch_of(t, words) for t in texts], pa.binary())], [c.split()[0] for c in PROFILE.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists, pa.array(marks), pa.array([len(h) for h in sets], pa.int32())], [c.split()[0] for c in PROFILE.split(", ")])
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(SEED), text).alias("text_hash2")).mapInArrow(tidy("simhash", run), PROFILE)
@@ -370,7 +365,7 @@ def met(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
             good = (label[c] != label[alive]) & (np.minimum(size[c], size[alive]) >= least * np.maximum(size[c], size[alive]) - 1e-9)
             a, b = ids[c[good]], ids[alive[good]]
             if len(a):
-                yield out(np.minimum(a, b), np.maximum(a, b))
+                yield out(a, b)
         if (rest := mixed & (count > high + 1)).any():
             yield out(ids[rest], None, key[rest], mark[rest], size[rest])
 
@@ -397,25 +392,42 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
     Each round compares some members of each key with the rest of it; pairs that are in one component already are left out, and rounds go on until no pair of two components is left."""
 
     def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict = {}
+
+        def of(node: int, text: str | None) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= HELD_SETS:
+                    sets.clear()
+                sets[node] = shingle_set(text, words)
+            return sets[node]
+
         for batch in batches:
-            good = [sketch_similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            good = [similarity(of(i, x.as_py()), of(j, y.as_py())) >= least for i, j, x, y in zip(a, b, batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     marked = written(profiles(docs, words=words).withColumn("row", F.monotonically_increasing_id()))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     firsts = [F.first(c).alias(c) for c in ("keys", "mark", "size")]
     classes = written(marked.groupBy("text_hash", "text_hash2").agg(F.min(key).alias("first"), *firsts).select("text_hash", "text_hash2", F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc_id"), "keys", "mark", "size"))
-    sketches = marked.select(F.col("row").alias("id"), "sketch")
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("hash_a"), F.xxhash64(F.lit(SEED), text).alias("hash_b"), text.alias("text"))
     rows = classes.select(F.explode("keys").alias("key"), "id", "mark", "size", F.col("id").alias("label"))
-    found, tested, low, high, old = components(classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), [], 0, 1, []
+    found, tested, low, high, old, texts = components(classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), [], 0, 1, [], None
     while True:
         step = written(met(rows, low, high, least))
-        new = step.where("b IS NOT NULL").select("a", "b").distinct()
+        if texts is None:  # later rounds compare none but these
+            involved = step.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            named = classes.select("id", "doc_id", "text_hash", "text_hash2").join(involved, "id", "left_semi")
+            same = F.expr("doc <=> doc_id AND hash_a = text_hash AND hash_b = text_hash2")
+            texts = written(keyed.join(named, same).select("id", "text").dropDuplicates(["id"]))
+        pair = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
+        new = step.where("b IS NOT NULL").select("a", "b", *pair).dropDuplicates(["low", "high"])
         for before in tested:
-            new = new.join(before, ["a", "b"], "left_anti")
+            new = new.join(before, ["low", "high"], "left_anti")
         new = written(new)
         tested.append(new)
-        pairs = new.join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
+        pairs = new.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b").select("a", "b", "x", "y")
         good = written(pairs.mapInArrow(tidy("simhash", fine), "a long, b long"))
         if not good.isEmpty():
             joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(good))
@@ -428,7 +440,7 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
             break
         rows = rest.select("key", F.col("a").alias("id"), "mark", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
         low, high = high, 8 * high
-    found._made_of = [*found._made_of, marked, step, *tested]
+    found._made_of = [*found._made_of, marked, step, texts, *tested]
     return classes, found
 
 

@@ -33,3 +33,11 @@ def test_block_edits(spark):
     texts = [prose(rng, 204) for _ in range(100)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t + prose(rng, 50 if i % 2 else 53)) for i, t in enumerate(texts)]
     assert kept(spark, rows) == {*range(100), *range(1000, 1100, 2)}
+
+
+def test_long_texts_are_compared_whole(spark):
+    """Texts of 2,000 words on both sides of the bound, by a word's difference."""
+    rng = random.Random(10)
+    texts = [prose(rng, 2004) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t + prose(rng, 500 if i % 2 else 501)) for i, t in enumerate(texts)]
+    assert kept(spark, rows) == {*range(40), *range(1000, 1040, 2)}
