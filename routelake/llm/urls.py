@@ -30,7 +30,7 @@ SAMPLED, MOST_RANGES = 32, 256
 
 
 def host_of(url: Column) -> Column:
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), "^.*?://([^/?#]*)", 1)
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://([^/?#]*)", 1)
     return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
