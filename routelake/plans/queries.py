@@ -724,7 +724,7 @@ def bottleneck_candidates(spark, sf_dir):
 
 def _panel(spark, sf_dir):
     facts = _scarce(_facts(spark, sf_dir))
-    huts = _huts(spark, sf_dir).where("ohrs_id <= 150")
+    huts = _huts(spark, sf_dir)
     tours = _nation_tours(spark, sf_dir)
     chosen = study.candidates(tours, huts).where("qualifies").select("tour", F.col("bottleneck").alias("a"))
     units = study.units(chosen, tours, huts, 0.4)
