@@ -6,13 +6,15 @@ distance is at most 4, it is at most 2 in one half, and then some integer vector
 fingerprint visits, for either half, its grid cell and the cells one step away, and two fingerprints within the bound always meet in
 a cell. There all bits are compared. Nothing is sampled or capped: the search is exact.
 
-near_duplicates() links fingerprints by their bits alone. one_of_each() links texts by the similarity of their shingles: the least
-hashes of a text's set of shingles, in bands, find its candidates. A pair of similarity 0.8 shares no band with a chance of 4e-7,
-less above, whatever the edit. Their whole sets of shingles then decide, whatever the length.
+Distinct fingerprints are searched, so exact copies cost one row. A cell gives a least spanning forest of its links, never its pairs,
+and of these only the links whose first common cell it is: both ends of another link are connected in the link's first cell already,
+by links no longer. So the links of a group grow with its members, not with the cells they share.
 
-Distinct fingerprints are searched, so exact copies cost one row. A cell gives a spanning forest of its links, never its pairs.
-one_of_each() compares in rounds instead: members of a band's key with all behind them, those nearest to the others first, until no
-pair of two components is left in any key; pairs that are joined already need no comparison, so groups stay near linear.
+near_duplicates() links fingerprints by their bits alone. one_of_each() links texts by the similarity of their sets of shingles:
+links of fingerprints, verified, join what differs in few bits. At a similarity of 0.8 two fingerprints differ in about ten bits
+of 64, which no cell of few bits bounds, so the rest is found by bands of least hashes of the sets: a pair of similarity 0.8 shares
+no band with a chance of 3e-5, less above, whatever the edit. All shingles of both texts then decide, whatever the length. Members
+of a band's key are compared in rounds, those nearest to the others first, until no pair of two components is left in any key.
 
 Defined cases: a text without words (null, empty, only white space) has the fingerprint zero, which is linked like any other; fewer
 words than a shingle are one shingle; repeated rows stay repeated and share a class; an empty table gives no rows; other columns
@@ -131,35 +133,75 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def least_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Positions of the links of the minimum spanning forest of n nodes, by distance d, then place: any set of links has one alone."""
+    order = np.lexsort((b, a, d))
+    a, b = a[order], b[order]
+    label, alive, chosen = np.arange(n), np.arange(len(a)), []
+    while True:
+        la, lb = label[a[alive]], label[b[alive]]
+        apart = la != lb
+        alive, la, lb = alive[apart], la[apart], lb[apart]
+        if not len(alive):
+            return order[np.unique(np.concatenate(chosen))] if chosen else np.empty(0, int)
+        best = np.full(n, len(a))
+        np.minimum.at(best, la, alive)
+        np.minimum.at(best, lb, alive)
+        pick = np.unique(best[best < len(a)])
+        chosen.append(pick)
+        label = forest(n, label[a[pick]], label[b[pick]])[label]
+
+
+def digits(code: np.ndarray) -> np.ndarray:
+    """The 16 bit counts of a half."""
+    return ((code[:, None] >> (2 * np.arange(16))) & 3).astype(np.int64)
+
+
+def first_cells(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cell in which each pair of fingerprints meets first: of the half of least number that bounds it, the least cell within a step of both."""
+    both = [(popcounts(v) >> np.uint64(32 * h) & np.uint64(0xFFFFFFFF)).astype(np.int64) for v in (x, y) for h in (0, 1)]
+    out = np.full(len(x), -1)
+    for half in (1, 0):
+        a, b = both[half], both[2 + half]
+        gap = digits(b) - digits(a)
+        far = np.abs(gap).sum(1)
+        steps = np.sign(gap) << (2 * np.arange(16))
+        # One step from a towards b, at the segment that gives the least cell; none if they share a cell, the lesser if they are neighbours.
+        middle = a + np.where(gap != 0, steps, np.iinfo(np.int64).max // 2).min(1, initial=np.iinfo(np.int64).max // 2)
+        cell = np.where(far == 0, a, np.where(far == 1, np.minimum(a, b), middle)) | (half << 32)
+        out = np.where(far <= 2, cell, out)
+    return out
+
+
 def linked_in_cells(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, least fp reached) within runs of equal cells; rows are sorted by cell."""
+    """Links of fingerprints within runs of equal cells that differ in few bits: the least forest of each run, without those that have met in another cell before. Rows are sorted by cell and fingerprint."""
     n = len(cell)
-    found_a, found_b = [], []
-    label = np.arange(n)
-    alive, pairs, step = np.arange(n), 0, 1
+    found, held, step = [np.empty((3, 0), np.int64)], 0, 1
+    alive = np.arange(n)
+
+    def shrunk() -> np.ndarray:
+        a, b, d = np.concatenate(found, 1)
+        return np.stack([a, b, d])[:, least_forest(n, a, b, d)]
+
     while True:
         alive = alive[alive + step < n]
         alive = alive[cell[alive] == cell[alive + step]]
         if not len(alive):
             break
-        near = alive[np.bitwise_count(fp[alive] ^ fp[alive + step]) <= bits]
-        if len(near):
-            found_a.append(near)
-            found_b.append(near + step)
-            pairs += len(near)
-        if pairs > 4 * n + 100_000:  # keep a forest of them instead
-            a, b = np.concatenate([*found_a]), np.concatenate([*found_b])
-            label = forest(n, np.concatenate([a, np.arange(n)]), np.concatenate([b, label]))
-            found_a, found_b, pairs = [], [], 0
+        d = np.bitwise_count(fp[alive] ^ fp[alive + step]).astype(np.int64)
+        near = d <= bits
+        found.append(np.stack([alive[near], alive[near] + step, d[near]]))
+        held += int(near.sum())
+        if held > 4 * n + 200_000:
+            found, held = [shrunk()], 0
         step += 1
-    if found_a:
-        label = forest(n, np.concatenate([*found_a, np.arange(n)]), np.concatenate([*found_b, label]))
-    k = np.flatnonzero(label != np.arange(n))
-    return fp[k], fp[label[k]]
+    a, b, _ = shrunk()
+    first = first_cells(fp[a], fp[b]) == cell[a]
+    return fp[a[first]], fp[b[first]]
 
 
 def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fps (fp long): a spanning forest of each cell's pairs that differ in few bits."""
+    """Links (a, b) between distinct fingerprints fps (fp long): of each cell, the least forest of its pairs that differ in few bits."""
     if bits > MOST_BITS:
         raise ValueError(f"cells of one step bound at most {MOST_BITS} differing bits")
 
@@ -175,8 +217,7 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
         def links(cell, fp):
             a, b = linked_in_cells(cell, fp.view(np.uint64), bits)
-            both = np.unique(np.stack([a.view(np.int64), b.view(np.int64)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
             cell, fp = np.concatenate([cell, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy()])
@@ -210,12 +251,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Groups of similar texts: bands of least hashes find candidates, shingles decide.
+# Groups of similar texts: fingerprints, then bands of least hashes find candidates, shingles decide.
 
-SIMILAR_WORDS, SIMILAR, HELD_SETS = 5, 0.8, 64
-#: A pair of similarity s shares no key with a chance of (1 - s ** BAND_ROWS) ** BANDS: 4e-7 at 0.8, 1.5e-8 at 0.83, whatever was edited.
-BANDS, BAND_ROWS = 28, 4
-PROFILE = "doc_id long, text_hash long, text_hash2 long, keys array<long>, mark long, size int"
+SIMILAR_WORDS, SIMILAR = 5, 0.8
+#: A pair of similarity s shares no key with a chance of (1 - s ** BAND_ROWS) ** BANDS: 3e-5 at 0.8, 3e-6 at 0.83, whatever was edited.
+BANDS, BAND_ROWS = 20, 4
+#: Pairs of one text that a task compares; more are dealt over several tasks.
+LOT = 512
+PROFILE = "doc_id long, row_1 long, row_2 long, set_1 long, set_2 long, fp long, keys array<long>, size int"
 
 
 def remixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -226,7 +269,7 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def shingle_set(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
-    """The distinct shingle hashes of a text, all of them."""
+    """The distinct shingle hashes of a text, all of them, sorted."""
     return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
@@ -236,124 +279,91 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def least_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Positions of the links of a minimum spanning forest of n nodes, by distance d, then place."""
-    order = np.lexsort((b, a, d))
-    a, b = a[order], b[order]
-    label, alive, chosen = np.arange(n), np.arange(len(a)), []
-    while True:
-        la, lb = label[a[alive]], label[b[alive]]
-        apart = la != lb
-        alive, la, lb = alive[apart], la[apart], lb[apart]
-        if not len(alive):
-            return order[np.unique(np.concatenate(chosen))] if chosen else np.empty(0, int)
-        best = np.full(n, len(a))
-        np.minimum.at(best, la, alive)
-        np.minimum.at(best, lb, alive)
-        pick = np.unique(best[best < len(a)])
-        chosen.append(pick)
-        label = forest(n, label[a[pick]], label[b[pick]])[label]
-
-
-def nearest_in_cells(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of the links of a minimum spanning forest by differing bits within runs of equal cells."""
-    n = len(cell)
-    found = [np.empty((3, 0), np.int64)]
-    held, alive, step = 0, np.arange(n), 1
-
-    def shrunk() -> np.ndarray:
-        a, b, d = np.concatenate(found, 1)
-        return np.stack([a, b, d])[:, least_forest(n, a, b, d)]
-
-    while True:
-        alive = alive[alive + step < n]
-        alive = alive[cell[alive] == cell[alive + step]]
-        if not len(alive):
-            a, b, _ = shrunk()
-            return a, b
-        d = np.bitwise_count(fp[alive] ^ fp[alive + step]).astype(np.int64)
-        near = d <= bits
-        found.append(np.stack([alive[near], alive[near] + step, d[near]]))
-        held += int(near.sum())
-        if held > 4 * n + 200_000:
-            found, held = [shrunk()], 0
-        step += 1
-
-
-def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(bands keys a set of hashes, a mark of 64 bits): a key hashes the least of the set under `rows` hash functions, a mark has the last bit of the least under 64."""
-    rng = np.random.default_rng(SEED)
-    n = max(64, bands * rows)
-    odd, flip = rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
-    least = np.full((len(sets), n), 2**32 - 1, np.uint32)
-    full = [i for i, h in enumerate(sets) if len(h)]
-    at = 0
+def in_lots(sets: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers, hashes in a row, where each set begins) of sets with hashes, some at a time."""
+    full, at = [i for i, h in enumerate(sets) if len(h)], 0
     while at < len(full):
         upto, held = at, 0
         while upto < len(full) and (held == 0 or held + len(sets[full[upto]]) <= CHUNK_HASHES):
             held += len(sets[full[upto]])
             upto += 1
         some = full[at:upto]
-        flat = np.concatenate([sets[i] for i in some])
-        flat = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
-        starts = np.cumsum([0, *(len(sets[i]) for i in some[:-1])])
+        yield some, np.concatenate([sets[i] for i in some]), np.cumsum([0, *(len(sets[i]) for i in some[:-1])])
+        at = upto
+
+
+def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(`bands` keys of each set of hashes, its fingerprint): a key hashes the least of the set under `rows` hash functions."""
+    rng = np.random.default_rng(SEED)
+    n = bands * rows
+    odd, flip = rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
+    least, fp = np.full((len(sets), n), 2**32 - 1, np.uint32), np.zeros(len(sets), np.uint64)
+    for some, hashes, starts in in_lots(sets):
+        ones = bit_sums(hashes, starts) * 2 > np.diff([*starts, len(hashes)])[:, None]
+        fp[some] = np.packbits(ones, axis=1, bitorder="little").view("<u8").ravel()
+        flat = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
         mixed = np.empty_like(flat)
         for k in range(n):
             np.bitwise_xor(flat, flip[k], out=mixed)
             np.multiply(mixed, odd[k], out=mixed)
             least[some, k] = np.minimum.reduceat(mixed, starts)
-        at = upto
     keys = np.zeros((len(sets), bands), np.uint64)
     for k in range(bands):
         for c in range(rows):
             keys[:, k] = remixed(keys[:, k] ^ least[:, k * rows + c].astype(np.uint64), k)
-    marks = np.packbits((least[:, :64] & np.uint32(1)).astype(bool), axis=1, bitorder="little").view("<u8").ravel()
-    return keys.view(np.int64), marks.view(np.int64)
+    return keys.view(np.int64), fp.view(np.int64)
+
+
+def row_keys() -> list:
+    """Two hashes of a row's doc_id and text, 128 bits that tell rows apart."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return [F.xxhash64(F.lit(SEED + k), doc, doc.isNull(), text, text.isNull()).alias(f"row_{k}") for k in (1, 2)]
 
 
 def profiles(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
+    from xxhash import xxh64_intdigest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            texts = batch.column(1).to_pylist()
-            sets = [shingle_set(t, words) for t in texts]
-            keys, marks = band_keys(sets)
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            keys, fp = band_keys(sets)
+            names = [pa.array(np.array([xxh64_intdigest(h.tobytes(), seed) for h in sets], np.uint64).view(np.int64)) for seed in (1, 2)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists, pa.array(marks), pa.array([len(h) for h in sets], pa.int32())], [c.split()[0] for c in PROFILE.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *names, pa.array(fp), lists, pa.array([len(h) for h in sets], pa.int32())], [c.split()[0] for c in PROFILE.split(", ")])
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(SEED), text).alias("text_hash2")).mapInArrow(tidy("simhash", run), PROFILE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_keys()).mapInArrow(tidy("simhash", run), PROFILE)
 
 
-def centred(key: np.ndarray, ids: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def centred(key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, first, count) of rows sorted by key: within runs of a key the ones nearest to all others by differing bits come first; each row has its run's first place and count."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    ones = bit_sums(mark, starts)
+    ones = bit_sums(fp, starts)
     run, far = np.repeat(np.arange(len(starts)), sizes), np.empty(len(key), np.int64)
     for lo in range(0, len(key), 50_000):
         r = run[lo : lo + 50_000]
-        bits = np.unpackbits(mark[lo : lo + 50_000].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(fp[lo : lo + 50_000].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         far[lo : lo + 50_000] = np.where(bits, sizes[r, None] - ones[r], ones[r]).sum(axis=1)
-    return np.lexsort((ids, far, run)), np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    return np.lexsort((ids, fp, far, run)), np.repeat(starts, sizes), np.repeat(sizes, sizes)
 
 
-MET = "a long, b long, key long, mark long, size int"
+MET = "a long, b long, key long, fp long, size int"
 
 
 def met(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
-    """For rows (key, id, mark, size, label): pairs (a, b) of the members in places low to high of each key with those behind them, of another label and sizes that a similarity of `least` allows; then the rows, as a, of keys with members behind the places."""
+    """For rows (key, id, fp, size, label): pairs (a, b) of the members in places low to high of each key with those behind them, of another label and sizes that a similarity of `least` allows; then the rows, as a, of keys with members behind the places."""
     names = [c.split()[0] for c in MET.split(", ")]
 
-    def out(a, b=None, key=None, mark=None, size=None):
+    def out(a, b=None, key=None, fp=None, size=None):
         n = len(a)
         cast = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(a), cast(b, pa.int64()), cast(key, pa.int64()), cast(mark, pa.int64()), cast(size, pa.int32())], names)
+        return pa.RecordBatch.from_arrays([pa.array(a), cast(b, pa.int64()), cast(key, pa.int64()), cast(fp, pa.int64()), cast(size, pa.int32())], names)
 
-    def pairs(key, ids, mark, size, label):
-        order, first, count = centred(key, ids, mark.view(np.uint64))
-        key, ids, mark, size, label = (x[order] for x in (key, ids, mark, size, label))
+    def pairs(key, ids, fp, size, label):
+        order, first, count = centred(key, ids, fp.view(np.uint64))
+        key, ids, fp, size, label = (x[order] for x in (key, ids, fp, size, label))
         starts = np.flatnonzero(first == np.arange(len(key)))
         mixed = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), count[starts])
         alive = np.flatnonzero(mixed & (count > low + 1))
@@ -367,7 +377,7 @@ def met(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
             if len(a):
                 yield out(a, b)
         if (rest := mixed & (count > high + 1)).any():
-            yield out(ids[rest], None, key[rest], mark[rest], size[rest])
+            yield out(ids[rest], None, key[rest], fp[rest], size[rest])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -382,77 +392,98 @@ def met(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
         if held is not None:
             yield from pairs(*held)
 
-    rows = rows.select("key", "id", "mark", "size", "label").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "id")
+    rows = rows.select("key", "id", "fp", "size", "label").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "id")
     return rows.mapInArrow(tidy("simhash", run), MET)
 
 
-def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(profiles of the rows with class id, components of classes). Texts of a component are linked by a similarity of at least `least` on shingles of so many words; equal texts are one class.
+def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the classes that ids (id) names."""
+    named = classes.select("id", "row_1", "row_2").join(ids.distinct(), "id", "left_semi")
+    return docs.select(F.col("text").cast("string").alias("text"), *row_keys()).join(named, ["row_1", "row_2"]).select("id", "text").dropDuplicates(["id"])
 
-    Each round compares some members of each key with the rest of it; pairs that are in one component already are left out, and rounds go on until no pair of two components is left."""
 
-    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict = {}
-
-        def of(node: int, text: str | None) -> np.ndarray:
-            if node not in sets:
-                if len(sets) >= HELD_SETS:
-                    sets.clear()
-                sets[node] = shingle_set(text, words)
-            return sets[node]
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of pairs (a, b) whose texts are similar. Only the text of b travels with each pair; that of a goes once to each lot of its pairs."""
 
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, own = None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = [similarity(of(i, x.as_py()), of(j, y.as_py())) >= least for i, j, x, y in zip(a, b, batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    marked = written(profiles(docs, words=words).withColumn("row", F.monotonically_increasing_id()))
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    firsts = [F.first(c).alias(c) for c in ("keys", "mark", "size")]
-    classes = written(marked.groupBy("text_hash", "text_hash2").agg(F.min(key).alias("first"), *firsts).select("text_hash", "text_hash2", F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc_id"), "keys", "mark", "size"))
-    text = F.col("text").cast("string")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("hash_a"), F.xxhash64(F.lit(SEED), text).alias("hash_b"), text.alias("text"))
-    rows = classes.select(F.explode("keys").alias("key"), "id", "mark", "size", F.col("id").alias("label"))
-    found, tested, low, high, old, texts = components(classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), [], 0, 1, [], None
+            a, lots, b = (batch.column(k).to_pylist() for k in range(3))
+            keep = []
+            for k, text in enumerate(batch.column(3)):
+                found = shingle_set(text.as_py(), words)
+                if b[k] is None:
+                    lot, own = (a[k], lots[k]), found
+                elif lot == (a[k], lots[k]) and similarity(own, found) >= least:
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    dealt = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / LOT).cast("int").alias("lots"))
+    sides = pairs.join(dealt, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"), "b")
+    firsts = dealt.select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(None).cast("long").alias("b"))
+    rows = sides.join(texts.withColumnRenamed("id", "b"), "b").select("a", "lot", "b", "text")
+    rows = rows.unionByName(firsts.join(texts.withColumnRenamed("id", "a"), "a").select("a", "lot", "b", "text"))
+    rows = rows.repartition(partitions(pairs.sparkSession), "a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(tidy("simhash", fine), "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(classes of the rows by equal sets of shingles, components of classes). Texts of a component are linked by a similarity of at least `least` on shingles of so many words.
+
+    Links of fingerprints come first. Then each round compares some members of each band's key with the rest of it; pairs that are in one component already are left out, and rounds go on until no pair of two components is left. So the result does not depend on the order of rows."""
+    marked = written(profiles(docs, words=words))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_1", "row_2")
+    firsts = [F.first(c).alias(c) for c in ("fp", "keys", "size")]  # the same in every row of a class
+    classes = marked.groupBy("set_1", "set_2").agg(F.min(key).alias("first"), *firsts)
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.row_1").alias("row_1"), F.col("first.row_2").alias("row_2"), "fp", "keys", "size"))
+    forget(marked)
+
+    # Fingerprints: classes of one fingerprint are linked to the least, and one class stands for each end of a link.
+    least_ids = written(classes.groupBy("fp").agg(F.min("id").alias("at"), F.count("*").alias("n")))
+    links = fingerprint_links(least_ids, bits)
+    same = classes.join(least_ids.where("n > 1"), "fp").where("id != at").select(F.col("at").alias("a"), F.col("id").alias("b"))
+    ends = least_ids.select("fp", "at")
+    links = links.withColumnsRenamed({"a": "x", "b": "y"}).join(ends.withColumnsRenamed({"fp": "x", "at": "a"}), "x").join(ends.withColumnsRenamed({"fp": "y", "at": "b"}), "y").select("a", "b")
+    pairs = written(same.unionByName(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    texts = written(texts_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+    found = components(written(similar_pairs(pairs, texts, words, least)))
+    forget(texts, least_ids)
+
+    rows, tested, low, high, old, texts = classes, [pairs], 0, 1, None, None
     while True:
-        step = written(met(rows, low, high, least))
+        labelled = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+        step = written(met(labelled.withColumn("key", F.explode("keys")) if low == 0 else labelled, low, high, least))
+        forget(*[old] * (old is not None))
+        old = step
         if texts is None:  # later rounds compare none but these
-            involved = step.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            named = classes.select("id", "doc_id", "text_hash", "text_hash2").join(involved, "id", "left_semi")
-            same = F.expr("doc <=> doc_id AND hash_a = text_hash AND hash_b = text_hash2")
-            texts = written(keyed.join(named, same).select("id", "text").dropDuplicates(["id"]))
-        pair = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
-        new = step.where("b IS NOT NULL").select("a", "b", *pair).dropDuplicates(["low", "high"])
+            texts = written(texts_of(docs, classes, step.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL")))
+        new = step.where("b IS NOT NULL").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "b").dropDuplicates(["low", "high"])
         for before in tested:
-            new = new.join(before, ["low", "high"], "left_anti")
-        new = written(new)
+            new = new.join(before.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti")
+        new = written(new.select("a", "b"))
         tested.append(new)
-        pairs = new.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b").select("a", "b", "x", "y")
-        good = written(pairs.mapInArrow(tidy("simhash", fine), "a long, b long"))
+        good = written(similar_pairs(new, texts, words, least))
         if not good.isEmpty():
             joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(good))
             forget(found)
             found = joined
-        forget(good, *old[:1])
-        old = [step]
+        forget(good)
         rest = step.where("b IS NULL")
         if rest.isEmpty():
             break
-        rows = rest.select("key", F.col("a").alias("id"), "mark", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+        rows = rest.select("key", F.col("a").alias("id"), "fp", "size")
         low, high = high, 8 * high
-    found._made_of = [*found._made_of, marked, step, texts, *tested]
+    found._made_of = [*found._made_of, step, texts, *tested]
     return classes, found
 
 
 def one_of_each(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their group of similar texts: the one of the least doc_id."""
+    """The rows of docs, with all their columns, that stand for their group of similar texts: the one of the least doc_id, of repeated rows one."""
     classes, found = similar_groups(docs, words, least)
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "text_hash2")
-    first = named.groupBy("component").agg(F.min(key).alias("f")).select(F.col("f.doc_id").alias("first_id"), F.col("f.text_hash").alias("hash_1"), F.col("f.text_hash2").alias("hash_2"))
-    first = written(first)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_1", "row_2")
+    first = written(named.groupBy("component").agg(F.min(key).alias("f")).select("f.row_1", "f.row_2"))
     forget(found, classes)
-    text = F.col("text").cast("string")
-    keyed = docs.withColumns({"hash_a": F.xxhash64(text), "hash_b": F.xxhash64(F.lit(SEED), text)})
-    kept = keyed.join(first, F.expr("cast(doc_id AS long) <=> first_id AND hash_a = hash_1 AND hash_b = hash_2"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "hash_a", "hash_b"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("tie"), *row_keys())
+    kept = keyed.join(first, ["row_1", "row_2"], "left_semi").groupBy("row_1", "row_2").agg(F.min_by("row", "tie").alias("row"))
+    return kept.select("row.*")

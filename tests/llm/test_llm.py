@@ -329,11 +329,21 @@ def test_cells_lose_no_pair():
     for bits in (4, 5):
         a, b = np.nonzero(np.triu(d <= bits, 1))
         x, y = simhash.linked_in_cells(cell[order], fp[index][order], bits)
-        p, q = simhash.nearest_in_cells(cell[order], fp[index][order], bits)
         at = lambda v: np.searchsorted(fp, v)
-        want = simhash.forest(len(fp), a, b)
-        assert np.array_equal(want, simhash.forest(len(fp), at(x), at(y)))
-        assert np.array_equal(want, simhash.forest(len(fp), at(fp[index][order][p]), at(fp[index][order][q])))
+        assert np.array_equal(simhash.forest(len(fp), a, b), simhash.forest(len(fp), at(x), at(y)))
+
+
+def test_links_of_a_group_stay_linear():
+    """Near fingerprints share dozens of cells; each link is given once, and few besides a forest of the group."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, dtype=np.int64).astype(np.uint64)
+    fp = np.unique(np.concatenate([[base], [base ^ (np.uint64(1) << np.uint64(i)) ^ (np.uint64(1) << np.uint64(j)) for i in range(64) for j in range(i)]]).astype(np.uint64))
+    index, cell = simhash.cells(fp)
+    order = np.lexsort((fp[index], cell))
+    x, y = simhash.linked_in_cells(cell[order], fp[index][order], 4)
+    at = lambda v: np.searchsorted(fp, v)
+    assert not simhash.forest(len(fp), at(x), at(y)).any()
+    assert len({frozenset(p) for p in zip(x.tolist(), y.tolist())}) == len(x) <= 3 * len(fp)
 
 
 def test_one_of_each(spark, docs, empty):
