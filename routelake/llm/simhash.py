@@ -13,8 +13,9 @@ by links no longer. So the links of a group grow with its members, not with the
 near_duplicates() links fingerprints by their bits alone. one_of_each() links texts by the similarity of their sets of shingles:
 links of fingerprints, verified, join what differs in few bits. At a similarity of 0.8 two fingerprints differ in about ten bits
 of 64, which no cell of few bits bounds, so the rest is found by bands of least hashes of the sets: a pair of similarity 0.8 shares
-no band with a chance of 3e-5, less above, whatever the edit. All shingles of both texts then decide, whatever the length. Members
-of a band's key are compared in rounds, those nearest to the others first, until no pair of two components is left in any key.
+no band with a chance of 3e-5, less above, whatever the edit. All shingles of both texts then decide, whatever the length. Of a
+band's key with many members, each is compared with a centre. Keys that still hold several components, such as those of a passage
+that many texts share, are settled by an exact join on the rarest shingles of their members.
 
 Defined cases: a text without words (null, empty, only white space) has the fingerprint zero, which is linked like any other; fewer
 words than a shingle are one shingle; repeated rows stay repeated and share a class; an empty table gives no rows; other columns
@@ -256,6 +257,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 #: A pair of similarity s shares no key with a chance of (1 - s ** BAND_ROWS) ** BANDS: 3e-5 at 0.8, 3e-6 at 0.83, whatever was edited.
 BANDS, BAND_ROWS = 20, 4
+#: Members of a key that are all compared with each other; more have a centre. Either way no pair of 0.8 is lost.
+FEW = 8
 #: Pairs of one text that a task compares; more are dealt over several tasks.
 LOT = 512
 PROFILE = "doc_id long, row_1 long, row_2 long, set_1 long, set_2 long, fp long, keys array<long>, size int"
@@ -336,66 +339,6 @@ def profiles(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_keys()).mapInArrow(tidy("simhash", run), PROFILE)
 
 
-def centred(key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first, count) of rows sorted by key: within runs of a key the ones nearest to all others by differing bits come first; each row has its run's first place and count."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    ones = bit_sums(fp, starts)
-    run, far = np.repeat(np.arange(len(starts)), sizes), np.empty(len(key), np.int64)
-    for lo in range(0, len(key), 50_000):
-        r = run[lo : lo + 50_000]
-        bits = np.unpackbits(fp[lo : lo + 50_000].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        far[lo : lo + 50_000] = np.where(bits, sizes[r, None] - ones[r], ones[r]).sum(axis=1)
-    return np.lexsort((ids, fp, far, run)), np.repeat(starts, sizes), np.repeat(sizes, sizes)
-
-
-MET = "a long, b long, key long, fp long, size int"
-
-
-def met(rows: DataFrame, low: int, high: int, least: float) -> DataFrame:
-    """For rows (key, id, fp, size, label): pairs (a, b) of the members in places low to high of each key with those behind them, of another label and sizes that a similarity of `least` allows; then the rows, as a, of keys with members behind the places."""
-    names = [c.split()[0] for c in MET.split(", ")]
-
-    def out(a, b=None, key=None, fp=None, size=None):
-        n = len(a)
-        cast = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(a), cast(b, pa.int64()), cast(key, pa.int64()), cast(fp, pa.int64()), cast(size, pa.int32())], names)
-
-    def pairs(key, ids, fp, size, label):
-        order, first, count = centred(key, ids, fp.view(np.uint64))
-        key, ids, fp, size, label = (x[order] for x in (key, ids, fp, size, label))
-        starts = np.flatnonzero(first == np.arange(len(key)))
-        mixed = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), count[starts])
-        alive = np.flatnonzero(mixed & (count > low + 1))
-        for i in range(low, high):
-            alive = alive[(alive - first[alive] > i) & (count[alive] > i + 1)]
-            if not len(alive):
-                break
-            c = first[alive] + i
-            good = (label[c] != label[alive]) & (np.minimum(size[c], size[alive]) >= least * np.maximum(size[c], size[alive]) - 1e-9)
-            a, b = ids[c[good]], ids[alive[good]]
-            if len(a):
-                yield out(a, b)
-        if (rest := mixed & (count > high + 1)).any():
-            yield out(ids[rest], None, key[rest], fp[rest], size[rest])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            new = [c.to_numpy() for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if whole := int(np.searchsorted(held[0], held[0][-1])):  # the last key may go on
-                yield from pairs(*(x[:whole] for x in held))
-                held = [x[whole:] for x in held]
-        if held is not None:
-            yield from pairs(*held)
-
-    rows = rows.select("key", "id", "fp", "size", "label").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "id")
-    return rows.mapInArrow(tidy("simhash", run), MET)
-
-
 def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the classes that ids (id) names."""
     named = classes.select("id", "row_1", "row_2").join(ids.distinct(), "id", "left_semi")
@@ -427,10 +370,51 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float)
     return rows.mapInArrow(tidy("simhash", fine), "a long, b long")
 
 
+def band_pairs(shared: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members of a key, of sizes that a similarity of `least` allows: all of a key with few members, else each member with the one that has most members in all its keys, so that a group has one centre in all of its keys."""
+    popular = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    large = shared.where(F.col("n") > FEW).join(popular, "id")
+    centres = large.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("id"), "size")).alias("c"))
+    near = F.least("size", "c.size") >= least * F.greatest("size", "c.size") - 1e-9
+    pairs = large.join(centres, "key").where((F.col("id") != -F.col("c.id")) & near).select((-F.col("c.id")).alias("a"), F.col("id").alias("b"))
+    members = shared.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "size"))).alias("m"))
+    each = F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.lit(FEW)), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    few = members.select(F.explode(F.flatten(each)).alias("p")).where(F.least("p.x.size", "p.y.size") >= least * F.greatest("p.x.size", "p.y.size") - 1e-9)
+    return pairs.unionByName(few.select(F.col("p.x.id").alias("a"), F.col("p.y.id").alias("b")))
+
+
+def rare_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts of different labels that may be similar, and all that are: of sets (id, label, size, hash), those that share one of their rarest hashes (prefix filtering), at places that leave enough to share."""
+    shared = sets.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 1")
+    # Hashes of one text alone come first in its order, without being named.
+    sort = F.sort_array(F.collect_list(F.struct(F.col("n"), F.col("hash"), (F.col("x") != F.col("y")).alias("mixed"))))
+    texts = sets.join(shared, "hash").groupBy("id", "label", "size").agg(sort.alias("s")).withColumn("alone", F.col("size") - F.size("s"))
+    size = F.col("size")
+    probe, index = (size - F.ceil(least * size - 1e-9) + 1).cast("int"), (size - F.ceil(2 * least / (1 + least) * size - 1e-9) + 1).cast("int")
+    first = texts.select("id", "label", "size", index.alias("index"), "alone", F.posexplode(F.slice("s", 1, F.greatest(probe - F.col("alone"), F.lit(0)))).alias("at", "h")).where("h.mixed")
+    first = written(first.select("id", "label", "size", (F.col("alone") + F.col("at")).alias("place"), F.col("h.hash").alias("hash"), (F.col("alone") + F.col("at") < F.col("index")).alias("indexed")))
+    x, y = first.where("indexed").alias("x"), first.alias("y")
+    enough = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= least / (1 + least) * (F.col("x.size") + F.col("y.size")) - 1e-9
+    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
+    met = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") != F.col("y.label")) & smaller & (F.col("x.size") >= least * F.col("y.size") - 1e-9) & enough)
+    out = met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    out._made_of = [first]
+    return out
+
+
+def unlike(pairs: DataFrame, *before: DataFrame) -> DataFrame:
+    """pairs (a, b), each once whatever its order, without those of the tables before."""
+    both = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
+    out = pairs.select("a", "b", *both).dropDuplicates(["low", "high"])
+    for old in before:
+        out = out.join(old.select(*both), ["low", "high"], "left_anti")
+    return out.select("a", "b")
+
+
 def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(classes of the rows by equal sets of shingles, components of classes). Texts of a component are linked by a similarity of at least `least` on shingles of so many words.
 
-    Links of fingerprints come first. Then each round compares some members of each band's key with the rest of it; pairs that are in one component already are left out, and rounds go on until no pair of two components is left. So the result does not depend on the order of rows."""
+    First links of fingerprints, small keys and the centres of large ones are compared. Texts of a large key that still holds several components are then joined by their rarest shingles: exact, and a passage that many texts share gives no pairs. So the result does not depend on the order of rows."""
     marked = written(profiles(docs, words=words))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_1", "row_2")
     firsts = [F.first(c).alias(c) for c in ("fp", "keys", "size")]  # the same in every row of a class
@@ -438,42 +422,47 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.row_1").alias("row_1"), F.col("first.row_2").alias("row_2"), "fp", "keys", "size"))
     forget(marked)
 
-    # Fingerprints: classes of one fingerprint are linked to the least, and one class stands for each end of a link.
+    # Classes of one fingerprint are linked to the least, and one class stands for each end of a link.
     least_ids = written(classes.groupBy("fp").agg(F.min("id").alias("at"), F.count("*").alias("n")))
-    links = fingerprint_links(least_ids, bits)
+    links = fingerprint_links(least_ids, bits).withColumnsRenamed({"a": "x", "b": "y"})
     same = classes.join(least_ids.where("n > 1"), "fp").where("id != at").select(F.col("at").alias("a"), F.col("id").alias("b"))
     ends = least_ids.select("fp", "at")
-    links = links.withColumnsRenamed({"a": "x", "b": "y"}).join(ends.withColumnsRenamed({"fp": "x", "at": "a"}), "x").join(ends.withColumnsRenamed({"fp": "y", "at": "b"}), "y").select("a", "b")
-    pairs = written(same.unionByName(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = links.join(ends.withColumnsRenamed({"fp": "x", "at": "a"}), "x").join(ends.withColumnsRenamed({"fp": "y", "at": "b"}), "y").select("a", "b")
+    rows = classes.select(F.explode("keys").alias("key"), "id", "size")
+    shared = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    pairs = written(unlike(same.unionByName(links).unionByName(band_pairs(shared, least))))
     texts = written(texts_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
-    found = components(written(similar_pairs(pairs, texts, words, least)))
+    good = written(similar_pairs(pairs, texts, words, least))
+    found = components(good)
     forget(texts, least_ids)
 
-    rows, tested, low, high, old, texts = classes, [pairs], 0, 1, None, None
-    while True:
-        labelled = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-        step = written(met(labelled.withColumn("key", F.explode("keys")) if low == 0 else labelled, low, high, least))
-        forget(*[old] * (old is not None))
-        old = step
-        if texts is None:  # later rounds compare none but these
-            texts = written(texts_of(docs, classes, step.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL")))
-        new = step.where("b IS NOT NULL").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "b").dropDuplicates(["low", "high"])
-        for before in tested:
-            new = new.join(before.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti")
-        new = written(new.select("a", "b"))
-        tested.append(new)
+    labelled = shared.where(F.col("n") > FEW).select("key", "id", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    labelled = written(labelled.select("key", "id", "size", "label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+    rest = written(labelled.join(mixed, "key", "left_semi").select("id", "size", "label").distinct())
+    old = [shared, pairs, labelled, rest, good]
+    if not rest.isEmpty():
+
+        def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, len(batch), 256):
+                    part = batch.slice(lo, 256)
+                    sets = [shingle_set(t.as_py(), words) for t in part.column(3)]
+                    at = pa.array(np.repeat(np.arange(len(sets)), [len(h) for h in sets]))
+                    yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in range(3)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "label", "size", "hash"])
+
+        texts = written(texts_of(docs, classes, rest.select("id")))
+        sets = written(texts.join(rest, "id").select("id", "label", "size", "text").mapInArrow(tidy("simhash", hashes), "id long, label long, size int, hash long"))
+        near = rare_pairs(sets, least)
+        new = written(unlike(near, pairs))
         good = written(similar_pairs(new, texts, words, least))
+        forget(near, sets, texts)
+        old += [new, good]
         if not good.isEmpty():
             joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(good))
             forget(found)
             found = joined
-        forget(good)
-        rest = step.where("b IS NULL")
-        if rest.isEmpty():
-            break
-        rows = rest.select("key", F.col("a").alias("id"), "fp", "size")
-        low, high = high, 8 * high
-    found._made_of = [*found._made_of, step, texts, *tested]
+    forget(*old)
     return classes, found
 
 

@@ -79,3 +79,20 @@ def test_clashing_columns_and_empty_table(spark):
     assert got.columns == table.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "None"]
     assert got.where("doc_id = 1").first().hash_a in "bv"
     assert simhash.one_of_each(table.limit(0)).collect() == []
+
+
+def test_passage_that_many_share(spark, monkeypatch):
+    """300 texts share 85 % of their words, at 0.74 to each other; near copies within them are found, and few others are compared."""
+    rng = random.Random(12)
+    passage = prose(rng, 340)
+    rows = []
+    for i in range(300):
+        own = prose(rng, 60)
+        rows.append((i, passage + own))
+        if i % 30 == 7:
+            rows.append((1000 + i, passage + own[:-4] + prose(rng, 4)))
+    compared = []
+    whole = simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda pairs, *a: compared.append(pairs.count()) or whole(pairs, *a))
+    assert kept(spark, rows) == {*range(300)}
+    assert sum(compared) <= 5 * len(rows)  # of 47,895 pairs
