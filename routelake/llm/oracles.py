@@ -31,7 +31,8 @@ SELECT p.page_id, p.host, p.path, b.rule, COALESCE(b.verdict, 'allow') AS verdic
 """
 
 CHAT = r"""
-WITH turns AS (SELECT conv_id, LIST({'r': COALESCE("role", chr(1)), 't': COALESCE(text, chr(1))} ORDER BY turn NULLS FIRST, "role" NULLS FIRST, text NULLS FIRST) AS l, string_agg('<|im_start|>' || COALESCE("role", '') || chr(10) || COALESCE(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, "role" NULLS FIRST, text NULLS FIRST) AS rendered FROM (SELECT DISTINCT conv_id, turn, "role", text FROM conversations) d GROUP BY conv_id),
+WITH rows AS (SELECT DISTINCT conv_id, CASE WHEN conv_id IS NULL THEN [CAST(turn AS VARCHAR), "role", text] END AS own, turn, "role", text FROM conversations),
+turns AS (SELECT conv_id, LIST({'r': COALESCE("role", ''), 'no_r': "role" IS NULL, 't': COALESCE(text, ''), 'no_t': text IS NULL} ORDER BY turn NULLS FIRST, "role" NULLS FIRST, text NULLS FIRST) AS l, string_agg('<|im_start|>' || replace(COALESCE("role", ''), '<|', '<\|') || chr(10) || replace(COALESCE(text, ''), '<|', '<\|') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, "role" NULLS FIRST, text NULLS FIRST) AS rendered FROM rows GROUP BY conv_id, own),
 distinct_ AS (SELECT l, MIN(conv_id) AS conv_id, COUNT(*) AS copies, MIN(rendered) AS rendered FROM turns GROUP BY l)
 SELECT d.conv_id, CAST(len(d.l) AS BIGINT) AS n_turns, d.copies - 1 AS n_collapsed, d.rendered FROM distinct_ d WHERE NOT EXISTS (SELECT 1 FROM distinct_ o WHERE o.l[1] = d.l[1] AND len(o.l) > len(d.l) AND o.l[1:len(d.l)] = d.l)
 """
