@@ -27,6 +27,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 OTHERWISE = "allow"
 #: Sampled keys a range on average, and most ranges, whatever the input.
 SAMPLED, MOST_RANGES = 32, 256
+#: Characters of a key that splitters hold.
+START = 256
 
 
 def host_of(url: Column) -> Column:
@@ -70,12 +72,16 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = OTHERWISE) -> Dat
     ranges = max(1, min(MOST_RANGES, 2 * partitions(spark)))
     n = seen.count()
     drawn = F.pmod(F.xxhash64(F.lit(5), "tie"), F.lit(1 << 40)) / float(1 << 40) < F.lit(SAMPLED * ranges / max(1, 3 * n))
-    splitters = quantile_splitters(probes.where(drawn).select(F.substring("key", 1, 256), "tie").limit(8 * SAMPLED * ranges).collect(), ranges)
-    probes = probes.withColumn("range", range_of(("key", "tie"), splitters).cast("int"))
+    # Ranges go by the first characters of a key, then by the row's hash, so that urls with a longer common start are dealt over several.
+    probes = probes.withColumn("start", F.substring("key", 1, START))
+    splitters = quantile_splitters(probes.where(drawn).select("start", "tie").limit(8 * SAMPLED * ranges).collect(), ranges)
+    probes = probes.withColumn("range", range_of(("start", "tie"), splitters).cast("int"))
     # A rule's stack answers for keys from its own up to the next rule's, so it goes to all ranges between, both included.
-    steps = stacked(rules).withColumn("tie", F.lit(-(1 << 63))).withColumn("from", range_of(("key", "tie"), splitters).cast("int"))
+    steps = stacked(rules).withColumn("start", F.substring("key", 1, START))
+    for name, tie in (("from", -(1 << 63)), ("upto", (1 << 63) - 1)):
+        steps = steps.withColumn("tie", F.lit(tie)).withColumn(name, range_of(("start", "tie"), splitters).cast("int"))
     following = Window.orderBy("key")  # over the rules alone
-    steps = steps.withColumn("to", F.coalesce(F.lead("from").over(following), F.lit(len(splitters))))
+    steps = steps.withColumn("to", F.coalesce(F.lead("upto").over(following), F.lit(len(splitters))))
     steps = steps.select(F.explode(F.sequence("from", "to")).alias("range"), "key", "stack")
     row = F.struct("page_id", "host", "path", "copies", "nth", "suffix").alias("row")
     events = steps.select("range", "key", F.lit(0).alias("kind"), "stack", F.lit(None).cast(probes.select(row).schema[0].dataType).alias("row"))
