@@ -6,8 +6,9 @@ then counted, and ranges above twice the mean are subdivided by a second hash in
 with a third of all rows is cut like anything else. Prefix sums of the ranges' bytes and rows give each record its exact place in
 the whole order without a global sort; the place decides the shard and the slot.
 
-The law is `bytes`: a record goes to the shard in whose stretch of the total bytes its middle lies, so every shard's bytes are
-within one record of the mean. Copies of a text that together are small beside a shard stay in one shard.
+The law is `bytes`: a record goes to the shard in whose stretch of the total bytes its middle lies. Equal texts stand together in the
+order, and a group of them of at most WHOLE of a shard's mean bytes goes by the group's middle, so it stays in one shard; larger
+groups are cut where shards meet. The rule is the same share at every size. A shard's bytes are so within its largest record and WHOLE of the mean.
 
 Defined cases: a null text has no bytes, so size 8, and is a group like any other text; repeated rows get a slot each; an empty
 table gives no rows; other columns are ignored. Reruns agree.
@@ -23,8 +24,8 @@ from routelake.llm.shared import partitions, quantile_splitters, range_of, writt
 SHARDS, OVERHEAD, SEED = 24, 8, 29
 #: Sampled records a range on average, and most ranges: the sample and the splitters on the driver have at most so many rows, whatever the input.
 SAMPLED, MOST_RANGES = 48, 512
-#: Groups of copies up to this share of a shard are kept together.
-WHOLE = 0.005
+#: Groups of equal texts up to this share of a shard's mean bytes are kept together.
+WHOLE = 0.02
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
