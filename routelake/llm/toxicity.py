@@ -163,7 +163,12 @@ class Model:
         e, c = self.index.nearest(*self.vector(counts), K)
         if not len(e):
             return self.silent, []
-        value = float(self.value[min(int(np.searchsorted(self.upto, self.share(e, c))), len(self.value) - 1)])
+        share = self.share(e, c)
+        pool = min(int(np.searchsorted(self.upto, share)), len(self.value) - 1)
+        # Within a pool of the calibration the share itself ranks texts, by a tenth of the way to the next pool's value.
+        least, most = (self.upto[pool - 1] if pool else 0.0), max(self.upto[pool], share)
+        beyond = (self.value[pool + 1] if pool + 1 < len(self.value) else 1.0) - self.value[pool]
+        value = float(self.value[pool] + 0.1 * beyond * (share - least) / max(most - least, 1e-12))
         return value, [{"doc_id": int(self.doc[x]), "toxic": int(self.toxic[x]), "cosine": float(y)} for x, y in zip(e[:EVIDENCE].tolist(), c[:EVIDENCE].tolist(), strict=True)]
 
 
@@ -174,7 +179,8 @@ def certain(ratios: list[float], tests: int) -> int:
 
 
 def in_training(doc_id) -> F.Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
+    """Not held out; a null doc_id has no text, so the remainder of an empty one, 0."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) != 1
 
 
 def fit(docs: DataFrame, labels: DataFrame, training=in_training, positives: int = POSITIVES, negatives: int = NEGATIVES, terms: int = TERMS) -> Model:
@@ -184,16 +190,16 @@ def fit(docs: DataFrame, labels: DataFrame, training=in_training, positives: int
     for kind, most in ((1, positives), (0, negatives)):
         part = labels.where(F.col("toxic") == kind).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most positives + negatives rows, whatever the input.
+    # At most positives + negatives rows, whatever the input; a doc_id that repeats gives its least text.
     chosen = F.broadcast(written(chosen))
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [term_counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
-    examples = written(texts.mapInArrow(tidy("toxicity", read), "doc_id long, toxic int, terms array<string>, counts array<int>").dropDuplicates(["terms", "counts", "toxic"]))
+    examples = written(texts.mapInArrow(tidy("toxicity", read), "doc_id long, toxic int, terms array<string>, counts array<int>").groupBy("terms", "counts", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "terms", "counts"))
     sizes = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
