@@ -16,18 +16,28 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
+    """The folder named in spark.checkpoint.dir; only where that is unset and all runs in one process, as in tests, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="shared-"))
 
 
+def _found(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """df as a table in the shared folder: it is computed once and outlives the loss of executors."""
+    """df as a table in the shared folder: it is computed once and outlives the loss of executors. It goes with forget(), or else when the application ends."""
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at, fs = _found(spark, path)
+    fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -40,9 +50,8 @@ def forget(*tables: DataFrame) -> None:
         path = getattr(df, "_written_at", None)
         if path is None:
             continue
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = _found(df.sparkSession, path)
+        fs.delete(at, True)
 
 
 #: What workers keep from task to task, by operator.
