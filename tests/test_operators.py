@@ -204,13 +204,34 @@ def test_regressions(spark):
     panel["treat"] = rng.integers(0, 2, days)[panel["d"]].astype(float)
     panel["x"] = panel["tour"] * panel["treat"]
     panel["y"] = 0.7 * panel["x"] + panel["hut"] * 0.1 + panel["d"] * 0.05 + rng.normal(size=len(panel)) * 0.01
-    got = stats.did(panel)
-    dummies = np.concatenate([panel[["x"]].to_numpy(float), pd.get_dummies(panel["hut"]).to_numpy(float), pd.get_dummies(panel["d"]).to_numpy(float)], 1)
-    assert math.isclose(got["coef"], np.linalg.lstsq(dummies, panel["y"], rcond=None)[0][0], abs_tol=1e-6)
-    assert "skipped" in stats.did(panel.assign(x=0.0)) and stats.did_power(panel)["mde"] > 0
-    boot = stats.did_bootstrap(spark.createDataFrame(panel.astype({"hut": "int64", "b": "int64"})), draws=16).toPandas()
+    table = spark.createDataFrame(panel.astype({"hut": "int64", "b": "int64"})).withColumn("spec", F.lit("s"))
+    got = stats.did_fit(table, "spec").first()
+    dummies = np.concatenate([panel[["x", "treat"]].to_numpy(float), pd.get_dummies(panel["hut"]).to_numpy(float), pd.get_dummies(panel["d"]).to_numpy(float)], 1)
+    plain = np.linalg.lstsq(dummies, panel["y"], rcond=None)[0]
+    assert math.isclose(got.coef, plain[0], abs_tol=1e-9) and got.n == len(panel) and got.clusters == 4
+    # Errors by cluster, from the rows themselves.
+    inside = panel["x"] - dummies[:, 1:] @ np.linalg.lstsq(dummies[:, 1:], panel["x"], rcond=None)[0]
+    sums = (inside * (panel["y"] - dummies @ plain)).groupby(panel["b"]).sum()
+    assert math.isclose(got.se, np.sqrt((sums**2).sum()) / (inside @ inside) * np.sqrt(4 / 3 * (len(panel) - 1) / (len(panel) - 1)), rel_tol=1e-6)
+    assert stats.did_fit(table.withColumn("x", F.lit(0.0)), "spec").first().skipped == stats.NO_TREATED
+    assert stats.did_fit(table.where("b = 1"), "spec").first().skipped == stats.FEW_CLUSTERS
+    left = panel["y"] - dummies @ plain
+    mde = stats.did_powers(table, "spec").first().mde
+    assert math.isclose(mde, stats.detection_factor() * np.sqrt(left @ left / (len(panel) - 2) / (inside @ inside)), rel_tol=1e-6)
+    boot = stats.did_bootstrap(table, draws=16).toPandas()
     assert len(boot) == 16 and abs(boot["coef"].mean() - 0.7) < 0.05
-    assert stats.bootstrap_diff([1, 2, 3], [1, 2, 3], n=200)["diff"] == 0
+    sides = spark.createDataFrame([(i, float(i % 7) + (i % 2), i % 2 == 0) for i in range(200)] + [(200, None, True)], "k long, v double, s boolean")
+    got = stats.bootstrap(sides, "k", "v", "s", draws=400).first()
+    means = sides.groupBy("s").agg(F.avg("v").alias("m")).collect()
+    diff = {r.s: r.m for r in means}
+    assert math.isclose(got.estimate, diff[True] - diff[False]) and got.lo < got.estimate < got.hi and got.hi - got.lo < 2
+    one = stats.bootstrap(sides, "k", "v", draws=50).first()
+    assert one.lo < one.estimate < one.hi
+    est = spark.createDataFrame([((0.2, 0.1, 0.3), (0.4, 0.25, 0.6)), ((0.2, 0.1, 0.3), (-0.4, -0.6, 0.2)), ((0.2, 0.1, 0.3), (0.4, 0.35, 0.6))], "a struct<coef: double, lo: double, hi: double>, b struct<coef: double, lo: double, hi: double>")
+    assert [r[0] for r in est.select(stats.replicated(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+    ranked = stats.nearest_rank(sides, ["s"], "v", 0.5).collect()
+    by = {s: sorted(r.v for r in sides.where("v IS NOT NULL").collect() if r.s == s) for s in (True, False)}
+    assert {r.s: r.v for r in ranked} == {s: v[len(v) // 2] for s, v in by.items()}
 
 
 def test_links_and_columns(spark):
