@@ -361,10 +361,16 @@ def connectivity(spark, sf_dir):
     return quality.connectivity(grading.by_variant(e).select("variant", "from_id", "to_id"), h.where("hub_type = 0"))
 
 
+LOT = 128
+
+
 def _routable(spark, sf_dir):
-    e = grading.by_variant(view(spark, sf_dir, "graded_edge")).select(F.lit(0).alias("cell_id"), "variant", "edge_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), F.col("distance_m").alias("length_m"), walking.edge_seconds(F.col("distance_m"), F.col("ascent_m") - F.col("descent_m")).alias("time_s"), "ascent_m", "descent_m", "sac_rank", "via_ferrata")
-    hubs = view(spark, sf_dir, "hub").where("hub_type = 0").select(F.lit(0).alias("cell_id"), F.col("hub_id").alias("node"), (F.col("hub_id") % 10 == 1).alias("is_hut"))
-    return e, hubs
+    """Edges and hubs by lot of sources: lengths follow no place, so no box bounds a way, and each lot of LOT huts walks the whole graph."""
+    huts = view(spark, sf_dir, "hub").where("hub_type = 0")
+    lots = F.array(*[F.lit(k) for k in range(-(-huts.count() // LOT) or 1)])
+    e = grading.by_variant(view(spark, sf_dir, "graded_edge")).select(F.explode(lots).alias("cell_id"), "variant", "edge_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), F.col("distance_m").alias("length_m"), walking.edge_seconds(F.col("distance_m"), F.col("ascent_m") - F.col("descent_m")).alias("time_s"), "ascent_m", "descent_m", "sac_rank", "via_ferrata")
+    each = huts.select(F.explode(lots).alias("cell_id"), F.col("hub_id").alias("node"))
+    return e, each.withColumn("is_hut", F.pmod(F.xxhash64("node"), F.size(lots)) == F.col("cell_id"))
 
 
 @query(None)
@@ -376,11 +382,11 @@ def hub_routes(spark, sf_dir):
 @query(
     "SELECT source, node, MIN(d) AS distance_m FROM walk GROUP BY source, node",
     "hut_edge",
-    more="RECURSIVE twoway AS (SELECT from_id AS u, to_id AS v, distance_m AS d FROM hut_edge UNION ALL SELECT to_id, from_id, distance_m FROM hut_edge), walk AS (SELECT u AS source, u AS node, CAST(0 AS DOUBLE) AS d FROM twoway WHERE u % 10 = 1 UNION SELECT w.source, b.v, w.d + b.d FROM walk w JOIN twoway b ON b.u = w.node WHERE w.d + b.d <= 20000)",
+    more="RECURSIVE twoway AS (SELECT from_id AS u, to_id AS v, distance_m AS d FROM hut_edge UNION ALL SELECT to_id, from_id, distance_m FROM hut_edge), walk AS (SELECT u AS source, u AS node, CAST(0 AS DOUBLE) AS d FROM twoway UNION SELECT w.source, b.v, w.d + b.d FROM walk w JOIN twoway b ON b.u = w.node WHERE w.d + b.d <= 20000)",
 )
 def hub_distances(spark, sf_dir):
     e = view(spark, sf_dir, "hut_edge").select(F.col("from_id").alias("u"), F.col("to_id").alias("v"), F.col("distance_m").alias("length_m"))
-    nodes = e.select("u").union(e.select("v")).distinct().where("u % 10 = 1").select(F.col("u").alias("node"))
+    nodes = e.select("u").union(e.select("v")).distinct().select(F.col("u").alias("node"))
     return routing.relaxed(e, nodes, 20_000.0)
 
 
@@ -457,12 +463,12 @@ def tour_search_car(spark, sf_dir):
 
 
 # Chains made of orders: the suppliers of an order in line order are a tour's huts.
-TOURLIKE_SQL = "tours AS (SELECT l_orderkey AS tour, LIST(l_suppkey ORDER BY l_linenumber, l_shipdate, l_extendedprice) AS huts, CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS total_h FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey)"
+TOURLIKE_SQL = "tours AS (SELECT l_orderkey AS tour, LIST(l_suppkey ORDER BY l_linenumber, l_shipdate, l_extendedprice) AS huts, CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS total_h FROM lineitem GROUP BY l_orderkey)"
 
 
 def _tourlike(spark, sf_dir):
     view(spark, sf_dir, "hub")
-    lines = spark.table("lineitem").where("l_orderkey % 5 = 0")
+    lines = spark.table("lineitem")
     huts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_shipdate", "l_extendedprice", "l_suppkey"))), lambda x: x["l_suppkey"])
     return lines.groupBy(F.col("l_orderkey").alias("tour")).agg(huts.alias("huts"), F.sum("l_quantity").cast("double").alias("total_h"))
 
@@ -477,11 +483,12 @@ def reverse_dedup(spark, sf_dir):
     return search.without_reverse_pairs(t).select("tour", sig.alias("sig"))
 
 
-@query("SELECT a.tour, b.tour AS other, ROUND(len(list_intersect(list_distinct(a.huts), list_distinct(b.huts))) / CAST(LEAST(len(list_distinct(a.huts)), len(list_distinct(b.huts))) AS DOUBLE), 6) AS overlap FROM tours a JOIN tours b ON b.tour = a.tour + 5", more=TOURLIKE_SQL)
+@query("SELECT a.tour, b.tour AS other, ROUND(len(list_intersect(list_distinct(a.huts), list_distinct(b.huts))) / CAST(LEAST(len(list_distinct(a.huts)), len(list_distinct(b.huts))) AS DOUBLE), 6) AS overlap FROM tours a JOIN tours b ON a.tour < b.tour AND a.huts[1] = b.huts[1] AND a.huts[-1] = b.huts[-1]", more=TOURLIKE_SQL)
 def overlap_fraction(spark, sf_dir):
-    a = _tourlike(spark, sf_dir).select("tour", "huts")
-    b = a.select((F.col("tour") - 5).alias("tour"), F.col("tour").alias("other"), F.col("huts").alias("huts2"))
-    return a.join(b, "tour").select("tour", "other", F.round(search.hut_overlap(F.col("huts"), F.col("huts2")), 6).alias("overlap"))
+    """Tours with the same first and last hut."""
+    a = _tourlike(spark, sf_dir).select("tour", "huts", F.element_at("huts", 1).alias("first"), F.element_at("huts", -1).alias("last"))
+    b = a.select("first", "last", F.col("tour").alias("other"), F.col("huts").alias("huts2"))
+    return a.join(b, ["first", "last"]).where("tour < other").select("tour", "other", F.round(search.hut_overlap(F.col("huts"), F.col("huts2")), 6).alias("overlap"))
 
 
 @query(
@@ -493,12 +500,12 @@ def shared_hub_runs(spark, sf_dir):
 
 
 # Trips: an order of up to three suppliers is a trip from its customer.
-TRIP_SQL = "trips AS (SELECT l_orderkey AS trip_id, CAST(1 + MIN(o_custkey) % 3 AS INT) AS start_type, MIN(o_custkey) AS start_id, MIN(o_custkey) AS exit_id, list_distinct(LIST(l_suppkey)) AS huts FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 10 = 1 GROUP BY l_orderkey)"
+TRIP_SQL = "trips AS (SELECT l_orderkey AS trip_id, CAST(1 + MIN(o_custkey) % 3 AS INT) AS start_type, MIN(o_custkey) AS start_id, MIN(o_custkey) AS exit_id, list_distinct(LIST(l_suppkey)) AS huts FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey)"
 
 
 def _trips(spark, sf_dir):
     t = view(spark, sf_dir, "start_record")
-    sel = spark.sql("SELECT l_orderkey AS trip_id, CAST(1 + MIN(o_custkey) % 3 AS INT) AS start_type, MIN(o_custkey) AS start_id, MIN(o_custkey) AS exit_id, array_sort(collect_set(l_suppkey)) AS huts FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 10 = 1 GROUP BY l_orderkey")
+    sel = spark.sql("SELECT l_orderkey AS trip_id, CAST(1 + MIN(o_custkey) % 3 AS INT) AS start_type, MIN(o_custkey) AS start_id, MIN(o_custkey) AS exit_id, array_sort(collect_set(l_suppkey)) AS huts FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey")
     adjacency = legs.adjacency(view(spark, sf_dir, "hut_edge"))
     return sel, adjacency, legs.forward(t), legs.backward(t)
 
@@ -888,3 +895,6 @@ def trip_sessions(spark, sf_dir):
 def start_counts(spark, sf_dir):
     h = view(spark, sf_dir, "hub").where("hub_type > 0")
     return h.agg(F.count("*").alias("starts"), F.count_if(F.col("hub_type") == STATION).alias("stations"))
+
+
+from routelake.plans import more  # noqa: E402, F401  adds its queries
