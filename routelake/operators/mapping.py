@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from routelake.functions.geo import mercator_tile
 from routelake.functions.text import kilometres, metres, signpost_time
 
-#: Pixels of a cluster, of a board and around boards and dots.
-CLUSTER_PX, LAST_ZOOM, BOARD_H, MARGIN, CLEARANCE = 60, 14, 28.0, 4.0, 14.0
+#: Pixels of a cluster, of a board, its mast and the mast's half width, and around boards and dots.
+CLUSTER_PX, LAST_ZOOM, BOARD_H, MAST_H, MAST_HALF, MARGIN, CLEARANCE = 60, 14, 26.0, 24.0, 1.0, 4.0, 8.0
 
 
 def clusters(points: DataFrame, zooms: list[int]) -> DataFrame:
@@ -93,7 +93,9 @@ def signposts(tours: DataFrame, viewport: tuple[float, float], previous: DataFra
     wide, high = viewport
 
     def box(x: float, y: float, side: str, width: float) -> tuple[float, float, float, float]:
-        return (x, y - BOARD_H, x + width, y) if side == "right" else (x - width, y - BOARD_H, x, y)
+        """(left, top, right, bottom) of a board on its mast; its tail stands at the mast's outer edge."""
+        left = x - MAST_HALF if side == "right" else x + MAST_HALF - width
+        return left, y - MAST_H - BOARD_H, left + width, y
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         boxes, feet, placed, dots, waiting = [], [], [], [], []

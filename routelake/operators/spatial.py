@@ -76,25 +76,25 @@ def snap(hubs: DataFrame, nodes: DataFrame, segments: DataFrame, radius_m: float
     return out.select("hub_type", "hub_id", F.when(F.col("reason").isNull(), F.col("target")).otherwise("rejected").alias("kind"), "node_id", "edge_id", "seg", "t", F.col("gap").alias("gap_m"), "dz_m", "reason")
 
 
-def stops_once(stops: DataFrame, radius_m: float = 40.0) -> DataFrame:
-    """Of stops (id, name, is_position, lon, lat) of one name within the radius only the first by (is_position, id) stays. The rule is greedy, so it is a fold over the stops of one name."""
-    import math
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["is_position", "id"], kind="stable")
-        kept: dict[tuple[int, int], list] = {}
-        out, step = [], radius_m / DEGREE_M
-        for r in rows.itertuples():
-            scale = math.cos(math.radians(r.lat))
-            cx, cy = math.floor(r.lon * scale / step), math.floor(r.lat / step)
-            close = any(math.hypot((r.lon - o.lon) * scale, r.lat - o.lat) <= step for i in (-1, 0, 1) for j in (-1, 0, 1) for o in kept.get((cx + i, cy + j), ()))
-            if not close:
-                kept.setdefault((cx, cy), []).append(r)
-                out.append(r.Index)
-        return rows.loc[out]
-
-    named = stops.where("name IS NOT NULL")
-    return named.groupBy("name").applyInPandas(fold, named.schema).unionByName(stops.where("name IS NULL"))
+def stops_once(stops: DataFrame, radius_m: float = 40.0, lat_most: float = 60.0) -> DataFrame:
+    """Stops (id, name, is_position, lon, lat) without the stop positions that lie within the radius of a kept stop of the same name, unnamed ones being alike. All others are kept; of positions the least id is. The rule is greedy by id, so it is settled in rounds: of the undecided, those without a lesser undecided neighbour stay, and their neighbours go."""
+    from routelake.plans.lineage import cut
+
+    other = stops.select(F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("is_position").alias("position2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    position = stops.where("is_position")
+    lesser = (F.col("id2") < F.col("id")) | ~F.col("position2")
+    links = cut(bucket_join(position, other, radius_m, lat_most=lat_most, on=F.col("name").eqNullSafe(F.col("name2")) & lesser).select("id", "id2", "position2"))
+    gone = links.where("NOT position2").select("id").distinct()
+    links = links.where("position2").select("id", "id2")
+    open_ = cut(position.select("id").join(gone, "id", "left_anti"))
+    gone = cut(gone)
+    while not open_.isEmpty():
+        among = links.join(open_, "id", "left_semi").join(open_.withColumnRenamed("id", "id2"), "id2", "left_semi")
+        stay = cut(open_.join(among.select("id").distinct(), "id", "left_anti"))
+        hit = cut(among.join(stay.withColumnRenamed("id", "id2"), "id2", "left_semi").select("id").distinct())
+        gone = gone.unionByName(hit)
+        open_ = cut(open_.join(stay, "id", "left_anti").join(hit, "id", "left_anti"))
+    return stops.join(gone, "id", "left_anti").select(*stops.columns)
 
 
 def raster_samples(points: DataFrame, raster: DataFrame, lon0: float, lat0: float, step: float) -> DataFrame:

@@ -887,8 +887,10 @@ def trip_sessions(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     line = Window.partitionBy("user_id").orderBy("ts", "event_type")
     action = F.element_at(F.array(*map(F.lit, trips.ACTIONS)), (F.pmod(F.crc32(F.col("event_type").cast("binary")) + F.floor(F.col("value")), F.lit(len(trips.ACTIONS))) + 1).cast("int"))
-    body = F.to_json(F.struct(F.concat(F.lit("t"), F.floor(F.col("value")) % 5).alias("id"), F.lit("Tour").alias("name")))
-    return trips.folded(e.select("user_id", F.row_number().over(line).alias("ord"), action.alias("action"), body.alias("trip")))
+    key = F.concat(F.lit("t"), (F.floor(F.col("value")) % 5).cast("string"))
+    one = F.struct(key.alias("id"), F.lit("Tour").alias("name"), F.array(F.floor(F.col("value")) % 7).alias("huts"))
+    body = F.to_json(F.struct(key.alias("id"), one.alias("trip"), F.array(one).alias("trips")))
+    return trips.folded(e.select("user_id", F.row_number().over(line).alias("ord"), action.alias("action"), body.alias("body")))
 
 
 @query("SELECT COUNT(*) AS starts, COUNT(*) FILTER (WHERE hub_type = 1) AS stations FROM hub WHERE hub_type > 0", "hub")

@@ -56,6 +56,16 @@ def test_signposts(spark):
     assert again["b"] == ("board", 100.0, "right") and again["a"] == ("board", 200.0, "right")
 
 
+def test_signpost_boxes(spark):
+    """A board with its mast is 50 px high and its tail stands one pixel beyond the foot; a dot keeps 8 px from every foot."""
+    schema = "view int, rank int, key string, width double, spots array<struct<x: double, y: double, east: boolean>>"
+    place = lambda rows: {r.key: (r.kind, r.x, r.y, r.side) for r in mapping.signposts(spark.createDataFrame(rows, schema), (200.0, 200.0)).collect()}
+    assert place([(1, 1, "a", 60.0, [(100.0, 50.0, True)])])["a"][0] == "board" and place([(1, 1, "a", 60.0, [(100.0, 49.0, True)])])["a"][0] == "dot"
+    assert place([(1, 1, "a", 60.0, [(1.0, 90.0, True)])])["a"][3] == "right" and place([(1, 1, "a", 60.0, [(0.5, 90.0, True)])])["a"][0] == "dot"
+    near = place([(1, 1, "a", 60.0, [(100.0, 90.0, True)]), (1, 2, "b", 150.0, [(100.0, 97.0, True), (100.0, 98.0, True)])])
+    assert near["b"] == ("dot", 100.0, 98.0, "right")
+
+
 def test_trip_profile(spark):
     legs = spark.createDataFrame([(1, 0, 1000.0, False, [1.0, 2.0, 3.0]), (1, 1, 500.0, True, [9.0, 5.0])], "trip_id int, leg int, distance_m double, reversed boolean, profile array<double>")
     got = [(round(r.km, 3), r.ele) for r in mapping.trip_elevation(legs).orderBy("leg", "i").collect()]

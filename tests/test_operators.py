@@ -89,8 +89,18 @@ def test_snap(spark):
 
 
 def test_stops_once(spark):
-    stops = spark.createDataFrame([(1, "A", True, 11.0, 47.0), (2, "A", False, 11.0001, 47.0), (3, "A", False, 11.1, 47.0), (4, "B", False, 11.0, 47.0), (5, None, False, 11.0, 47.0)], "id int, name string, is_position boolean, lon double, lat double")
-    assert sorted(r.id for r in spatial.stops_once(stops).collect()) == [2, 3, 4, 5]
+    rows = [
+        (1, "A", True, 11.0, 47.0), (2, "A", False, 11.0001, 47.0), (3, "A", False, 11.0002, 47.0), (4, "A", True, 11.1, 47.0), (5, "A", True, 11.1004, 47.0), (6, "A", True, 11.1008, 47.0),
+        (7, "A", True, 11.1012, 47.0), (8, "B", True, 11.0, 47.0), (9, None, True, 12.0, 47.0), (10, None, True, 12.0001, 47.0), (11, "C", False, 12.0, 47.0), (12, "C", False, 12.0, 47.0), (13, "A", True, 13.0, 47.0),
+    ]
+    stops = spark.createDataFrame(rows, "id int, name string, is_position boolean, lon double, lat double")
+    plain = []
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        near = lambda o: o[1] == r[1] and math.hypot((o[3] - r[3]) * math.cos(math.radians(47)), o[4] - r[4]) * 111_195 <= 40  # noqa: E731, B023
+        if not (r[2] and any(map(near, plain))):
+            plain.append(r)
+    got = spatial.stops_once(stops)
+    assert got.columns == stops.columns and sorted(r.id for r in got.collect()) == sorted(r[0] for r in plain) == [2, 3, 4, 6, 8, 9, 11, 12, 13]
 
 
 def test_simplified(spark):
@@ -255,17 +265,72 @@ def test_geojson(spark, tmp_path):
     assert [(r.osm_id, r.name, r.lon) for r in io.read_points(spark, str(tmp_path / "p.json")).collect()] == [(12, "A", 11.5)]
 
 
+def trip_of(key, **more):
+    return {"id": key, "name": key, "startDate": None, "partySize": 1, "start": {"startId": 1, "sourceType": 1}, "huts": ["{A}"], "exit": {"startId": 1, "sourceType": 1}, **more}
+
+
+def after(*actions, state=None):
+    state = state or trips.start()
+    for action, body in actions:
+        state = trips.reduced(state, action, body)
+    return state
+
+
+def test_saved_trips():
+    ids = lambda s: [t["id"] for t in s["trips"]]
+    three = after(*[("create", {"trip": trip_of(k)}) for k in "abc"])
+    assert ids(three) == ["a", "b", "c"] and three["active"] == "c"
+    new = after(("update", {"trip": trip_of("a", name="neu"), "now": "2026-07-01"}), state=three)
+    assert (new["trips"][0]["name"], new["trips"][0]["updatedAt"]) == ("neu", "2026-07-01") and new["trips"][1] == trip_of("b")
+    assert after(("closeActive", None), state=three)["active"] is None
+    gone = after(("setActive", {"id": "b"}), ("delete", {"id": "b"}), state=three)
+    assert ids(gone) == ["a", "c"] and gone["active"] is None
+    back = after(("undoDelete", None), state=gone)
+    assert ids(back) == ["a", "b", "c"] and back["deleted"] is None
+    assert after(("delete", {"id": "x"}), ("undoDelete", None), state=three) == three
+    assert ids(after(("import", {"trips": [trip_of("a"), trip_of("z")]}), state=three)) == ["a", "b", "c", "a-copy", "z"]
+
+
+def test_drafts():
+    opened = after(("openDraft", {"trip": trip_of("a")}))
+    assert opened["draft"] == opened["opened"] == trip_of("a") and opened["on_draft"] and opened["active"] is None and not trips.dirty(opened)
+    edited = after(("updateDraft", {"trip": trip_of("a", partySize=3)}), state=opened)
+    assert edited["draft"]["partySize"] == 3 and edited["opened"] == trip_of("a") and trips.dirty(edited)
+    assert not trips.dirty(after(("updateDraft", {"trip": trip_of("a", name="b", booked=True)}), state=opened))
+    for k, v in (("huts", ["{B}"]), ("startDate", "2026-06-01"), ("start", {"startId": 2, "sourceType": 1}), ("exit", {"startId": 1, "sourceType": 2})):
+        assert trips.dirty(after(("updateDraft", {"trip": trip_of("a", **{k: v})}), state=opened))
+    saved = after(("saveDraft", {"name": "n"}), state=edited)
+    assert saved["draft"] is saved["opened"] is None and saved["active"] == "a" and not saved["on_draft"] and saved["trips"][0]["name"] == "n"
+    assert after(("saveDraft", None), ("updateDraft", {"trip": trip_of("q")}), ("reopenDraft", None)) == trips.start()
+    closed = after(("closeActive", None), state=opened)
+    assert closed["draft"] and not closed["on_draft"] and after(("reopenDraft", None), state=closed)["on_draft"]
+
+
+def test_unsaving():
+    two = after(("create", {"trip": trip_of("a")}), ("create", {"trip": trip_of("b")}))
+    un = after(("unsave", {"id": "a", "name": "draft"}), state=two)
+    assert [t["id"] for t in un["trips"]] == ["b"] and un["draft"]["name"] == "draft" and un["on_draft"] and un["unsaved"] == {"id": "a", "place": 0, "name": "a"}
+    back = after(("undoUnsave", None), state=un)
+    assert [t["id"] for t in back["trips"]] == ["a", "b"] and back["trips"][0]["name"] == "a" and back["draft"] is None and back["active"] == "a" and not back["on_draft"]
+    other = after(("openDraft", {"trip": trip_of("c")}), state=un)
+    assert after(("undoUnsave", None), state=other) == other and other["unsaved"] is None
+    assert after(("dismissUnsave", None), state=un)["unsaved"] is None and after(("unsave", {"id": "x"}), state=two) == two
+
+
 def test_trip_fold_as_batch_and_stream(spark, tmp_path):
-    rows = [(1, 1, "new", '{"id":"a","name":"x"}'), (1, 2, "save", None), (1, 3, "edit", '{"name":"y"}'), (2, 1, "import", '{"id":"a"}'), (2, 2, "import", '{"id":"a"}'), (2, 3, "delete", '{"id":"a"}'), (2, 4, "undo", None)]
-    events = spark.createDataFrame(rows, "user_id long, ord long, action string, trip string")
-    want = {r.user_id: (r.saved, r.dirty, r.undoable) for r in trips.folded(events).collect()}
-    assert want == {1: (1, True, False), 2: (2, False, False)}
+    import json
+
+    one = lambda k, **more: json.dumps({"trip": trip_of(k, **more), "trips": [trip_of(k)], "id": k})
+    rows = [(1, 1, "openDraft", one("a")), (1, 2, "saveDraft", None), (1, 3, "unsave", one("a")), (1, 4, "updateDraft", one("a", partySize=2)), (2, 1, "import", one("a")), (2, 2, "import", one("a")), (2, 3, "delete", one("a")), (2, 4, "undoDelete", None), (2, 5, "delete", one("a-copy"))]
+    events = spark.createDataFrame(rows, "user_id long, ord long, action string, body string")
+    want = {r.user_id: tuple(r)[1:] for r in trips.folded(events).collect()}
+    assert {u: (r[0], r[4], r[5], r[6]) for u, r in want.items()} == {1: ("", True, False, True), 2: ("a", False, True, False)}
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     q = trips.streamed(stream).writeStream.outputMode("update").format("memory").queryName("trips_out").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert {r.user_id: (r.saved, r.dirty, r.undoable) for r in spark.table("trips_out").collect()} == want
+    assert {r.user_id: tuple(r)[1:] for r in spark.table("trips_out").collect()} == want
 
 
 def test_stale_tasks(spark):
