@@ -86,11 +86,34 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     for name in TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, text in VIEWS.items():
-        spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {text}")
+        if (session, sf_dir, name) in _built:
+            _built[session, sf_dir, name].createOrReplaceTempView(name)
+        else:
+            spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {text}")
 
 
-def view(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame | tuple[DataFrame, ...]:
+#: The network's own tables, each a join of the largest tables: built once for a session and folder, as tables in the checkpoint folder.
+NETWORK = ("hut_edge", "start_edge")
+_built: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def build(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    """Builds those of NETWORK that names stand on and that are not built yet."""
+    from routelake.plans.lineage import cut
+
     register(spark, sf_dir)
+    session = spark._jsparkSession.sessionUUID()
+    wanted = [n for n in NETWORK if (session, sf_dir, n) not in _built and any(n == m or n in NEEDS.get(m, ()) for m in names)]
+    for name in wanted:
+        _built[session, sf_dir, name] = cut(spark.table(name))
+        _built[session, sf_dir, name].createOrReplaceTempView(name)
+    for name, needs in NEEDS.items():
+        if any(n in wanted for n in needs):
+            spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {VIEWS[name]}")
+
+
+def view(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame | tuple[DataFrame, ...]:
+    build(spark, sf_dir, *names)
     out = tuple(spark.table(n) for n in names)
     return out[0] if len(out) == 1 else out
 

@@ -19,6 +19,8 @@ from routelake.operators.legs import backward, kill_reason
 from routelake.schema import MODE_SOURCE
 
 MOST_LEGS = 8
+#: Why a leg or tour is dropped.
+REASONS = ("max_leg_time", "min_leg_time", "leg_ascent_cap", "max_ele", "via_ferrata", "hut_filtered", "availability", "revisit", "track_overlap")
 SIMILAR = 0.5
 _NO_IDS = "CAST(array() AS array<int>)"
 
@@ -74,11 +76,12 @@ def _leg() -> Column:
 
 
 def _dominant(states: DataFrame) -> DataFrame:
+    """Of the states of one hut, start and visited huts the one of least duration, the first of equals; its place is that of the hut's first sighting, then the key's. A hut's first sighting is a partial minimum, so a hut with many states is no task of its own."""
     key = ["hut", "start_id", "visited"]
     best = Window.partitionBy(*key).orderBy("total_h", "ord")
-    first_key, first_hut = Window.partitionBy(*key), Window.partitionBy("hut")
-    states = states.withColumn("key_", F.min("ord").over(first_key)).withColumn("rank_", F.row_number().over(best)).withColumn("hut_", F.min("ord").over(first_hut))
-    return states.where("rank_ = 1").withColumn("ord", F.concat("hut_", "key_")).drop("hut_", "key_", "rank_")
+    states = states.withColumn("key_", F.min("ord").over(Window.partitionBy(*key))).withColumn("rank_", F.row_number().over(best)).where("rank_ = 1").drop("rank_").persist()
+    first = states.groupBy(F.col("hut").alias("hut_")).agg(F.min("key_").alias("first_"))
+    return states.join(first, F.col("hut") == F.col("hut_")).withColumn("ord", F.concat("first_", "key_")).drop("hut_", "key_", "first_")
 
 
 def _with_ids(legs: DataFrame, ids: DataFrame | None, query: Query) -> DataFrame:
@@ -105,7 +108,7 @@ def search(query: Query, approaches: DataFrame, exits: DataFrame, adjacency: Dat
         F.col("ascent_m").alias("total_ascent_m"), F.col("descent_m").alias("total_descent_m"), F.col("distance_m").alias("total_distance_m"), F.array(_leg()).alias("legs"),
         F.col("leg_ids").alias("used"), F.col("suffix").alias("arrived"), F.col("prefix").alias("left_start"), F.array("hut_id", "edge_id").alias("ord"),
     )
-    layer = _dominant(layer).persist()
+    layer = _dominant(layer)
     out_legs = backward(fitting(exits).where(F.col("variant") == query.variant)).withColumns({k: v for k, v in unknown.items() if k not in exits.columns})
     out_legs = _with_ids(out_legs, start_ids, query).withColumn("reason", query.reason())
     out_legs = out_legs.select(F.col("hut_id").alias("x_hut"), F.col("start_id").alias("exit_start_id"), *[c for c in out_legs.columns if c not in ("hut_id", "start_id", "start_type", "variant", "access")]).persist()
@@ -144,9 +147,10 @@ def search(query: Query, approaches: DataFrame, exits: DataFrame, adjacency: Dat
             (F.col("total_distance_m") + F.col("distance_m")).alias("total_distance_m"), F.concat("legs", F.array(_leg())).alias("legs"), (F.array_union("used", "leg_ids") if query.with_ids else F.col("used")).alias("used"),
             F.when(F.col("reversed"), F.col("prefix")).otherwise(F.col("suffix")).alias("arrived"), "left_start", F.concat("ord", F.array("leg_ord")).alias("ord"),
         )
-        layer = _dominant(grown).persist()
+        layer = _dominant(grown)
         finish(layer, n + 1)
-    counted = reduce(DataFrame.unionByName, kills).groupBy("reason").count().withColumnRenamed("count", "n")
+    reasons = out_legs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, REASONS))).alias("reason"))
+    counted = reasons.join(reduce(DataFrame.unionByName, kills).groupBy("reason").agg(F.count("*").alias("n")), "reason", "left").na.fill(0, ["n"])
     if not finished:
         raise ValueError("legs_min is above legs_max")
     return reduce(DataFrame.unionByName, finished), counted

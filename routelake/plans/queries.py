@@ -422,7 +422,7 @@ def tour_search_basic(spark, sf_dir):
 
 @query(
     "SELECT reason, CAST(SUM(n) AS BIGINT) AS n FROM (SELECT 'max_leg_time' AS reason, COUNT(*) AS n FROM matrix WHERE start_type = 1 AND h > 8 UNION ALL SELECT 'max_leg_time', COUNT(*) FROM best b JOIN exits e ON e.hut_id = b.last WHERE e.h > 8 UNION ALL "
-    "SELECT CASE WHEN a.t = b.last OR list_contains(b.set_, a.t) THEN 'revisit' ELSE 'max_leg_time' END, COUNT(*) FROM (SELECT start_id, last, list_sort(huts) AS set_, MIN(total) AS total FROM chain WHERE len(huts) < 2 GROUP BY 1, 2, 3) b JOIN adj a ON a.f = b.last WHERE a.h > 8 OR list_contains(b.set_, a.t) GROUP BY 1) k GROUP BY reason HAVING SUM(n) > 0",
+    "SELECT CASE WHEN a.t = b.last OR list_contains(b.set_, a.t) THEN 'revisit' ELSE 'max_leg_time' END, COUNT(*) FROM (SELECT start_id, last, list_sort(huts) AS set_, MIN(total) AS total FROM chain WHERE len(huts) < 2 GROUP BY 1, 2, 3) b JOIN adj a ON a.f = b.last WHERE a.h > 8 OR list_contains(b.set_, a.t) GROUP BY 1 UNION ALL SELECT UNNEST(['max_leg_time', 'min_leg_time', 'leg_ascent_cap', 'max_ele', 'via_ferrata', 'hut_filtered', 'availability', 'revisit', 'track_overlap']), 0) k GROUP BY reason",
     "start_record",
     "hut_edge",
     more=SEARCH_SQL.replace("{most}", "2"),

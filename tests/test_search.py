@@ -86,7 +86,8 @@ def test_against_enumerator(spark, seed, mode):
     got = sorted((r.start_id, r.exit_start_id, tuple(r.huts), round(r.total_h, 6)) for r in tours.collect())
     source = {"car": 2, "transit": 1}.get(mode)
     assert got == enumerate_tours(edges, links, ids, mode, source, 5, 6.0)
-    assert {r.reason for r in kills.collect()} <= {"max_leg_time", "revisit", "track_overlap"}
+    counters = {r.reason: r.n for r in kills.collect()}
+    assert set(counters) == set(search.REASONS) and {k for k, n in counters.items() if n} <= {"max_leg_time", "revisit", "track_overlap"}
 
 
 def test_beds_and_allowed(spark):
