@@ -47,6 +47,31 @@ def grid_shape(lon0: float, lat0: float, lon1: float, lat1: float, tile_km: floa
     return step, max(1, math.ceil((lon1 - lon0) * _cosine((lat0 + lat1) / 2) / step)), max(1, math.ceil((lat1 - lat0) / step))
 
 
+def cell_bounds(cell: Column, lon0: float, lat0: float, lon1: float, lat1: float, tile_km: float, pad_km: float = 0.0) -> tuple[Column, Column, Column, Column]:
+    """(west, south, east, north) of a tile, widened on all sides."""
+    step_lat, columns, _ = grid_shape(lon0, lat0, lon1, lat1, tile_km)
+    step_lon, pad = step_lat / _cosine((lat0 + lat1) / 2), pad_km / tile_km
+    col, row = F.pmod(cell, F.lit(columns)), F.floor(cell / columns)
+    return lon0 + (col - pad) * step_lon, lat0 + (row - pad) * step_lat, lon0 + (col + 1 + pad) * step_lon, lat0 + (row + 1 + pad) * step_lat
+
+
+def cells_over(west: Column, south: Column, east: Column, north: Column, lon0: float, lat0: float, lon1: float, lat1: float, tile_km: float) -> Column:
+    """Numbers of the tiles that a box meets, row by row."""
+    _, columns, _ = grid_shape(lon0, lat0, lon1, lat1, tile_km)
+    low, high = (grid_cell(x, y, lon0, lat0, lon1, lat1, tile_km) for x, y in ((west, south), (east, north)))
+    wide = F.pmod(high, F.lit(columns)) - F.pmod(low, F.lit(columns))
+    rows = F.sequence(F.lit(0).cast("long"), F.floor(high / columns) - F.floor(low / columns))
+    return F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(0).cast("long"), wide), lambda c: low + r * columns + c)))
+
+
+def circle_ring(lon: Column, lat: Column, radius_km: float, n: int = 32) -> Column:
+    """A closed ring of so many points around a place, from north by east."""
+    step_lat = radius_km * 1000 / DEGREE_M
+    turn = lambda k: 2 * F.pi() * k / n
+    point = lambda k: F.struct((lon + step_lat * F.sin(turn(k)) / F.cos(F.radians(lat))).alias("lon"), (lat + step_lat * F.cos(turn(k))).alias("lat"))
+    return F.transform(F.concat(F.sequence(F.lit(0), F.lit(n - 1)), F.array(F.lit(0))), point)
+
+
 def point_code(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Exact keys of a point at 1e-7 degrees, half to even."""
     return F.rint(lon / POINT_STEP).cast("long"), F.rint(lat / POINT_STEP).cast("long")

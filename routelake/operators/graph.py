@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from routelake.functions import geo
 from routelake.plans.lineage import cut
 
 
@@ -87,3 +89,74 @@ def cells_covering(nodes: DataFrame, fractions: list[float]) -> DataFrame:
     dense = cells_by_density(nodes).withColumns({"k": F.row_number().over(Window.orderBy(F.desc("n"), "cell_id")), "total": F.sum("n").over(Window.partitionBy())})
     each = dense.withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))
     return each.where(F.col("running") >= F.col("fraction") * F.col("total")).groupBy("fraction").agg(F.min("k").cast("long").alias("cells"))
+
+
+def candidate_hubs(hubs: DataFrame, box: tuple[float, float, float, float], tile_km: float, reach_km: float) -> DataFrame:
+    """(cell_id, hub_type, hub_id, is_hut): for each cell that holds a hut, the hubs (hub_type, hub_id, lon, lat) that a way of the given length can reach: those in the cell's box widened by it. is_hut: a hut of the cell itself."""
+    x, y = F.col("lon"), F.col("lat")
+    own = hubs.withColumn("own", geo.grid_cell(x, y, *box, tile_km))
+    west, south, east, north = geo.cell_bounds(F.col("cell_id"), *box, tile_km, reach_km)
+    around = geo.cell_bounds(F.col("own"), *box, tile_km, reach_km)
+    cells = own.where("hub_type = 0").select(F.col("own").alias("cell_id")).distinct()
+    each = own.withColumn("cell_id", F.explode(geo.cells_over(*around, *box, tile_km)))
+    near = each.join(cells, "cell_id", "left_semi").where((x >= west) & (x <= east) & (y >= south) & (y <= north))
+    return near.select("cell_id", "hub_type", "hub_id", ((F.col("hub_type") == 0) & (F.col("own") == F.col("cell_id"))).alias("is_hut"))
+
+
+def clipped(nodes: DataFrame, edges: DataFrame, box: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a box and one step beyond: nodes (node_id, lon, lat) inside, edges (u, v) that touch one, and the nodes at their ends."""
+    inside = nodes.where(geo.in_box(F.col("lon"), F.col("lat"), box)).select("node_id", F.lit(0).alias("cell_id"))
+    both = subgraph(inside.unionByName(nodes.join(inside, "node_id", "left_anti").select("node_id", F.lit(1).alias("cell_id"))), edges, inside.select("cell_id").distinct())
+    return nodes.join(both[0].select("node_id"), "node_id", "left_semi"), both[1]
+
+
+def ordered_chains(segments: DataFrame) -> DataFrame:
+    """(chain, u, v, interior, seg_ids, reversed, length_m, ascent_m, descent_m) of segments (seg_id, u, v, length_m, ascent_m, descent_m): the chains of contracted() walked from their end of least node, with the nodes between and the climbs in the direction of the walk. A ring starts at its least node, along the least segment there.
+
+    Labels find the chains in parallel; a chain itself is one walk, as long as a path without crossings."""
+    out = "chain long, u long, v long, interior array<long>, seg_ids array<long>, reversed array<boolean>, length_m double, ascent_m double, descent_m double"
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        at: dict[int, list] = {}
+        for r in sorted(rows.itertuples(), key=lambda r: r.seg_id):
+            at.setdefault(r.u, []).append(r)
+            if r.v != r.u:
+                at.setdefault(r.v, []).append(r)
+        tips = sorted({r.u for r in rows.itertuples() if r.u_tip} | {r.v for r in rows.itertuples() if r.v_tip})
+        node = first = tips[0] if tips else min(at)
+        path, done = [], set()
+        while step := next((r for r in at[node] if r.seg_id not in done), None):
+            back = node != step.u
+            path.append((step, back))
+            done.add(step.seg_id)
+            node = step.u if back else step.v
+            if node == first or node in tips:
+                break
+        nodes = [s.u if back else s.v for s, back in path]
+        up, down = (sum(float(getattr(s, a if not back else b)) for s, back in path) for a, b in (("ascent_m", "descent_m"), ("descent_m", "ascent_m")))
+        row = (int(rows["chain"].iloc[0]), first, node, nodes[:-1], [s.seg_id for s, _ in path], [back for _, back in path], sum(float(s.length_m) for s, _ in path), up, down)
+        return pd.DataFrame([row], columns=[c.split()[0] for c in out.split(", ")])
+
+    junction = degrees(segments).where("degree != 2").select("node")
+    inner = segments.select("seg_id", F.explode(F.array("u", "v")).alias("node")).join(junction, "node", "left_anti")
+    pair = inner.groupBy("node").agg(F.min("seg_id").alias("u"), F.max("seg_id").alias("v"))
+    chains = components(pair.where("u != v").select("u", "v"))
+    labelled = segments.join(chains.withColumnRenamed("node", "seg_id"), "seg_id", "left").withColumn("chain", F.coalesce("component", "seg_id")).drop("component")
+    for end in ("u", "v"):
+        labelled = labelled.join(junction.select(F.col("node").alias(end), F.lit(True).alias(f"{end}_tip")), end, "left").na.fill(False, [f"{end}_tip"])
+    return labelled.groupBy("chain").applyInPandas(walk, out)
+
+
+def by_workload(edges: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(cell_id, score, place): cells from the most work on: edges (cell_id) times huts among hubs (cell_id, is_hut), one at least."""
+    huts = hubs.where("is_hut").groupBy("cell_id").agg(F.count("*").alias("huts"))
+    scored = edges.groupBy("cell_id").agg(F.count("*").alias("edges")).join(huts, "cell_id", "left").withColumn("score", F.col("edges") * F.coalesce("huts", F.lit(1)))
+    return scored.select("cell_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "cell_id")).alias("place"))  # a row a cell
+
+
+def gathered(runs: DataFrame, flat: DataFrame) -> DataFrame:
+    """(key, values): runs (key, start, n) of a flat table (i, value), in order."""
+    each = runs.where("n > 0").select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("i")).join(flat, "i")
+    lists = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("l"))
+    out = runs.select("key").join(lists, "key", "left")
+    return out.select("key", F.coalesce(F.col("l.value"), F.array().cast(f"array<{flat.schema['value'].dataType.simpleString()}>")).alias("values"))

@@ -141,3 +141,12 @@ def simplified(lines: DataFrame, tolerance: float) -> DataFrame:
             yield rows.assign(points=[keep(list(p) if p is not None else None) for p in rows["points"]])
 
     return lines.mapInPandas(run, lines.schema)
+
+
+def trails(ways: DataFrame, points: DataFrame, rings: DataFrame, highways: list[str]) -> DataFrame:
+    """Ways (way_id, highway) of the given kinds that have a point (way_id, pos, lon, lat) inside a region's rings, whole, each once though regions overlap."""
+    from routelake.operators.quality import inside
+
+    wanted = ways.where(F.col("highway").isin(*highways))
+    at = points.join(wanted.select("way_id"), "way_id", "left_semi").withColumn("pid", F.struct("way_id", "pos"))
+    return wanted.join(inside(at, rings).select("way_id").distinct(), "way_id", "left_semi").dropDuplicates(["way_id"])

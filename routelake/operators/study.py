@@ -219,3 +219,39 @@ def rank_share(effects: DataFrame, chosen: DataFrame) -> DataFrame:
     best = effects.groupBy("tour").agg(F.min_by("a", F.struct("effect", "a")).alias("best"), F.count("*").alias("n"), F.collect_set("a").alias("fitted"))
     usable = best.join(chosen.withColumnRenamed("a", "chosen"), "tour").where((F.col("n") >= 2) & F.array_contains("fitted", F.col("chosen")))
     return usable.agg(F.count("*").alias("tours"), F.avg((F.col("best") == F.col("chosen")).cast("double")).alias("observed"), F.avg(1 / F.col("n")).alias("chance"))
+
+
+def control_distances(units_: DataFrame) -> DataFrame:
+    """(n, median, max) of the kilometres to all chosen controls."""
+    km = units_.select(F.explode("controls").alias("c")).select(F.col("c.km").alias("km"))
+    return km.agg(F.count("*").alias("n"), F.median("km").alias("median"), F.max("km").alias("max"))
+
+
+#: Outcomes of the study, the column of each, and which condition each variant of the selection relaxes.
+OUTCOMES = {"occupancy": "occupancy", "sold_out": "sold_out_share", "sold_out_near": "sold_out_near_share"}
+VARIANTS = {"primary": (), "incl_no_activity": ("no_activity",), "incl_mismatch": ("capacity_mismatch",)}
+LEAST_GROUP = 5
+
+
+def specification_rows(facts: DataFrame, on_tour: DataFrame, cuts: tuple[str, ...] = ("season", "jul_aug", "fri_sun")) -> DataFrame:
+    """(spec, season, cut, outcome, variant, ohrs_id, tour, value): all that the specifications compare; on_tour has (ohrs_id, tour 0 or 1). One pass over the days a cut."""
+    out = None
+    for cut in cuts:
+        table = seasons(facts, cut).join(on_tour, "ohrs_id")
+        for variant, relax in VARIANTS.items():
+            each = selected(table, relax).select("season", "ohrs_id", "tour", F.explode(F.create_map(*[x for name, c in OUTCOMES.items() for x in (F.lit(name), F.col(c))])).alias("outcome", "value"))
+            part = each.where("value IS NOT NULL").withColumns({"cut": F.lit(cut), "variant": F.lit(variant)})
+            out = part if out is None else out.unionByName(part)
+    return out.withColumn("spec", F.concat_ws("|", "season", "cut", "outcome", "variant"))
+
+
+def specifications(rows: DataFrame) -> DataFrame:
+    """(spec, n_tour, n_other, mean_tour, mean_other, sd, mde, skipped) of specification_rows(); a group below LEAST_GROUP is skipped."""
+    from routelake.operators.stats import least_detectable
+
+    side = lambda f, t: f(F.when(F.col("tour") == t, F.col("value")))
+    out = rows.groupBy("spec").agg(side(F.count, 1).alias("n_tour"), side(F.count, 0).alias("n_other"), side(F.avg, 1).alias("mean_tour"), side(F.avg, 0).alias("mean_other"), F.stddev_samp("value").alias("sd"))
+    small = F.least("n_tour", "n_other") < LEAST_GROUP
+    reason = F.format_string("group too small (%d tour / %d other)", "n_tour", "n_other")
+    out = out.withColumn("mde", F.when(~small, least_detectable(F.col("n_tour"), F.col("n_other"), F.col("sd"))))
+    return out.withColumns({c: F.when(~small, F.col(c)) for c in ("mean_tour", "mean_other", "sd")} | {"skipped": F.when(small, reason)})

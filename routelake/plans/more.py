@@ -441,7 +441,7 @@ def fetch_queue(spark, sf_dir):
     return io.not_cached(c, c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 1, "ok").otherwise("error").alias("status")), "c_custkey")
 
 
-@query("SELECT CAST(s_suppkey AS INT) AS s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN CAST(s_suppkey AS INT) END AS id, CAST(s_suppkey % 30 + s_nationkey AS INT) AS capacity, 47.25 AS lat, 11.5 AS lon, CASE WHEN s_suppkey % 4 = 0 THEN 'no id' END AS error FROM supplier")
+@query("SELECT CAST(s_suppkey AS INT) AS s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN CAST(s_suppkey AS INT) END AS id, CAST(s_suppkey % 30 + s_nationkey AS INT) AS capacity, 47.25::DOUBLE AS lat, 11.5::DOUBLE AS lon, CASE WHEN s_suppkey % 4 = 0 THEN 'no id' END AS error FROM supplier")
 def hut_info(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     places = lambda c: F.struct(c.cast("int").alias("totalSleepingPlaces"))

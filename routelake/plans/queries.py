@@ -899,4 +899,4 @@ def start_counts(spark, sf_dir):
     return h.agg(F.count("*").alias("starts"), F.count_if(F.col("hub_type") == STATION).alias("stations"))
 
 
-from routelake.plans import more  # noqa: E402, F401  adds its queries
+from routelake.plans import more, network  # noqa: E402, F401  add their queries

@@ -171,3 +171,38 @@ def header(manifest: dict) -> bytes:
     """A manifest before its bytes: length and JSON."""
     text = json.dumps(manifest, sort_keys=True).encode()
     return struct.pack("<I", len(text)) + text
+
+
+DAYS = "ohrs_id int, season int, date date, status string, free_place int, capacity int"
+
+
+def write_days(days: DataFrame, path: str) -> None:
+    """Hut days as CSV files with a header, in the columns of DAYS."""
+    days.select(*[c.split()[0] for c in DAYS.split(", ")]).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DAYS).option("header", True).csv(path)
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Edges in order of edge_id, so that a lookup reads the row groups that can hold it alone."""
+    edges.repartitionByRange("edge_id").sortWithinPartitions("edge_id").write.mode("overwrite").parquet(path)
+
+
+def edge_of(spark: SparkSession, path: str, edge_id: int, columns: list[str]) -> DataFrame:
+    """Some columns (points, profile) of one edge: a filter that reaches the scan."""
+    return spark.read.parquet(path).where(F.col("edge_id") == edge_id).select("edge_id", *columns)
+
+
+def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of files, or an empty one where there are none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def required(df: DataFrame, column: str) -> DataFrame:
+    """df, which fails when it is run if the column is missing in a row."""
+    known = F.when(F.col(column).isNull(), F.raise_error(F.lit(f"a row without {column}"))).otherwise(F.col(column))
+    return df.withColumn(column, known.cast(df.schema[column].dataType))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,41 @@ class Superseding:
 def timings(log: DataFrame) -> DataFrame:
     """(phase, runs, last_s, median_s) of a log (phase, at, seconds)."""
     return log.groupBy("phase").agg(F.count("*").alias("runs"), F.max_by("seconds", "at").alias("last_s"), F.median("seconds").alias("median_s"))
+
+
+class Debounced:
+    """Runs the last of requests that come in quick succession, and keeps the last result until the next is there."""
+
+    def __init__(self, run, seconds: float = 0.3):
+        self.run, self.seconds, self.result, self._timer, self._lock = run, seconds, None, None, threading.Lock()
+
+    def ask(self, *args) -> None:
+        with self._lock:
+            if self._timer:
+                self._timer.cancel()
+            self._timer = threading.Timer(self.seconds, self._answer, args)
+            self._timer.daemon = True
+            self._timer.start()
+
+    def _answer(self, *args) -> None:
+        self.result = self.run(*args)
+
+    def wait(self):
+        if self._timer:
+            self._timer.join()
+        return self.result
+
+
+class Once:
+    """Keeps what make() gave for a key; a failure is not kept."""
+
+    def __init__(self):
+        self._known, self._locks, self._lock = {}, {}, threading.Lock()
+
+    def get(self, key, make):
+        with self._lock:
+            own = self._locks.setdefault(key, threading.Lock())
+        with own:
+            if key not in self._known:
+                self._known[key] = make()
+            return self._known[key]
