@@ -5,8 +5,9 @@ cut into parts that the Karmarkar-Karp method spreads over windows of nearly equ
 largest spread are merged again and again, the fullest windows of one on the emptiest of the other. If a window then exceeds the
 capacity, the number of windows rises and the differencing is run again.
 
-Documents are packed in groups of GROUP consecutive rows of one input split, so no row is shuffled, the memory of a task is
-bounded by one group and a lost task can be run again with the same result.
+Documents are packed in groups of consecutive rows of one input split, so no row is shuffled, the memory of a task is bounded by one
+group and a lost task can be run again with the same result; other splits give other groups. A group has GROUP documents or more,
+until they fill some fifty windows, as its last windows are padded: half a window on average.
 
 Defined cases: a null or empty text is one piece that holds the closing id alone; very long texts become many whole windows;
 repeated rows are packed each by itself; an empty table gives no rows; other columns are ignored.
@@ -28,8 +29,8 @@ from routelake.llm.shared import kept_caches, tidy
 
 CAPACITY, END_ID, GROUP, PART = 2048, 1, 512, 256
 CACHED_WORDS = 1_000_000
-#: Characters of text that end a group early.
-HELD = 8_000_000
+#: Characters of text that end a group early, those that it has at least, and its most documents.
+HELD, LEAST_HELD, MOST_GROUP = 8_000_000, 400_000, 50_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _tokenizers = kept_caches.setdefault("packing", {})
@@ -201,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                 ids.append(doc)
                 texts.append(text.as_py() or "")
                 held += len(texts[-1])
-                if len(ids) >= group or held >= HELD:
+                if held >= HELD or len(ids) >= MOST_GROUP or (len(ids) >= group and held >= LEAST_HELD):
                     yield flush()
         if ids:
             yield flush()
