@@ -6,6 +6,9 @@ distance is at most 4, it is at most 2 in one half, and then some integer vector
 fingerprint visits, for either half, its grid cell and the cells one step away, and two fingerprints within the bound always meet in
 a cell. There all bits are compared. Nothing is sampled or capped: the search is exact.
 
+Cells in which very many fingerprints meet are divided again, by the quarters of the other half: of what is left of the bound, one
+quarter holds two at most, so steps of one bound it in the same way, and the members of a crowded cell are dealt over many tasks.
+
 Distinct fingerprints are searched, so exact copies cost one row. A cell gives a least spanning forest of its links, never its pairs,
 and of these only the links whose first common cell it is: both ends of another link are connected in the link's first cell already,
 by links no longer. So the links of a group grow with its members, not with the cells they share.
@@ -38,6 +41,8 @@ SHINGLE, SEED, BITS = 4, 42, 4
 #: The bound holds for up to this many differing bits: two halves, each within one step of a common cell.
 MOST_BITS = 5
 CHUNK_HASHES = 200_000
+#: Members of a cell beyond which it is divided by the bit counts of the other half.
+MOST_IN_CELL = 20_000
 
 _LOW = np.uint64(0x5555555555555555)
 
@@ -102,20 +107,40 @@ def popcounts(fp: np.ndarray) -> np.ndarray:
     return (fp & _LOW) + ((fp >> np.uint64(1)) & _LOW)
 
 
+def halves(fp: np.ndarray) -> list[np.ndarray]:
+    """The packed bit counts of either half of the segments."""
+    counts = popcounts(fp)
+    return [((counts >> np.uint64(32 * h)) & np.uint64(0xFFFFFFFF)).astype(np.int64) for h in (0, 1)]
+
+
+def around(own: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index into own, counts) of all vectors of bit counts within one step; the own ones come first."""
+    index, out = [np.arange(len(own))], [own]
+    for s in range(segments):
+        digit = (own >> (2 * s)) & 3
+        for step, can in ((1, digit < 2), (-1, digit > 0)):
+            k = np.flatnonzero(can)
+            index.append(k)
+            out.append(own[k] + step * (1 << (2 * s)))
+    return np.concatenate(index), np.concatenate(out)
+
+
 def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index into fp, cell) of all cells within one step, for either half. A cell's top bit names the half."""
-    counts = popcounts(fp)
-    index, out = [], []
-    for half in (0, 1):
-        own = ((counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64) | np.int64(half << 32)
-        index.append(np.arange(len(fp)))
-        out.append(own)
-        for s in range(16):
-            digit = (own >> (2 * s)) & 3
-            for step, can in ((1, digit < 2), (-1, digit > 0)):
-                k = np.flatnonzero(can)
-                index.append(k)
-                out.append(own[k] + step * (1 << (2 * s)))
+    index, out = zip(*(around(own | (h << 32), 16) for h, own in enumerate(halves(fp))), strict=True)
+    return np.concatenate(index), np.concatenate(out)
+
+
+def quarters(cell: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
+    """The bit counts of either quarter of the half that a cell does not name."""
+    low, high = halves(fp)
+    other = np.where(cell >> 32, low, high)
+    return [(other >> (16 * q)) & 0xFFFF for q in (0, 1)]
+
+
+def subcells(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, subcell) of members of cells: the half that the cell does not name differs by at most five, so one of its quarters by at most two, and the same steps bound it."""
+    index, out = zip(*(around(own | ((q + 1) << 16), 8) for q, own in enumerate(quarters(cell, fp))), strict=True)
     return np.concatenate(index), np.concatenate(out)
 
 
@@ -153,30 +178,36 @@ def least_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndar
         label = forest(n, label[a[pick]], label[b[pick]])[label]
 
 
-def digits(code: np.ndarray) -> np.ndarray:
-    """The 16 bit counts of a half."""
-    return ((code[:, None] >> (2 * np.arange(16))) & 3).astype(np.int64)
+def first_of(a: np.ndarray, b: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, the first vector within a step of both) of pairs of vectors of bit counts: the common one, the lesser of neighbours, or of those between the least."""
+    places = 2 * np.arange(segments)
+    gap = ((b[:, None] >> places) & 3) - ((a[:, None] >> places) & 3)
+    far, most = np.abs(gap).sum(1), np.iinfo(np.int64).max // 2
+    between = a + np.where(gap != 0, np.sign(gap) << places, most).min(1, initial=most)
+    return far, np.where(far == 0, a, np.where(far == 1, np.minimum(a, b), between))
 
 
 def first_cells(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The cell in which each pair of fingerprints meets first: of the half of least number that bounds it, the least cell within a step of both."""
-    both = [(popcounts(v) >> np.uint64(32 * h) & np.uint64(0xFFFFFFFF)).astype(np.int64) for v in (x, y) for h in (0, 1)]
+    """The cell in which each pair of fingerprints meets first: of the first half that bounds it."""
+    out = np.full(len(x), -1)
+    for h, (a, b) in reversed([*enumerate(zip(halves(x), halves(y), strict=True))]):
+        far, cell = first_of(a, b, 16)
+        out = np.where(far <= 2, cell | (h << 32), out)
+    return out
+
+
+def first_subcells(cell: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = np.full(len(x), -1)
-    for half in (1, 0):
-        a, b = both[half], both[2 + half]
-        gap = digits(b) - digits(a)
-        far = np.abs(gap).sum(1)
-        steps = np.sign(gap) << (2 * np.arange(16))
-        # One step from a towards b, at the segment that gives the least cell; none if they share a cell, the lesser if they are neighbours.
-        middle = a + np.where(gap != 0, steps, np.iinfo(np.int64).max // 2).min(1, initial=np.iinfo(np.int64).max // 2)
-        cell = np.where(far == 0, a, np.where(far == 1, np.minimum(a, b), middle)) | (half << 32)
-        out = np.where(far <= 2, cell, out)
+    for q, (a, b) in reversed([*enumerate(zip(quarters(cell, x), quarters(cell, y), strict=True))]):
+        far, sub = first_of(a, b, 8)
+        out = np.where(far <= 2, sub | ((q + 1) << 16), out)
     return out
 
 
-def linked_in_cells(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of fingerprints within runs of equal cells that differ in few bits: the least forest of each run, without those that have met in another cell before. Rows are sorted by cell and fingerprint."""
+def linked_in_cells(cell: np.ndarray, fp: np.ndarray, bits: int, sub: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of fingerprints within runs of equal cells, and subcells if any (0: the whole cell), that differ in few bits: the least forest of each run, without those that have met elsewhere before. Rows are sorted by cell, subcell and fingerprint."""
     n = len(cell)
+    sub = np.zeros(n, np.int64) if sub is None else sub
     found, held, step = [np.empty((3, 0), np.int64)], 0, 1
     alive = np.arange(n)
 
@@ -186,7 +217,7 @@ def linked_in_cells(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.nda
 
     while True:
         alive = alive[alive + step < n]
-        alive = alive[cell[alive] == cell[alive + step]]
+        alive = alive[(cell[alive] == cell[alive + step]) & (sub[alive] == sub[alive + step])]
         if not len(alive):
             break
         d = np.bitwise_count(fp[alive] ^ fp[alive + step]).astype(np.int64)
@@ -197,12 +228,29 @@ def linked_in_cells(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.nda
             found, held = [shrunk()], 0
         step += 1
     a, b, _ = shrunk()
-    first = first_cells(fp[a], fp[b]) == cell[a]
+    first = (first_cells(fp[a], fp[b]) == cell[a]) & ((sub[a] == 0) | (first_subcells(cell[a], fp[a], fp[b]) == sub[a]))
     return fp[a[first]], fp[b[first]]
 
 
-def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fps (fp long): of each cell, the least forest of its pairs that differ in few bits."""
+def crowded(fps: DataFrame, most: int) -> DataFrame:
+    """(cell): the cells that more than `most` fingerprints visit, by what live in them and a step away. Cells in which few live are not counted, so others hold half as many again at most."""
+
+    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [half | (h << 32) for h, half in enumerate(halves(batch.column(0).to_numpy().view(np.uint64)))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own))], ["cell"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, cell = around(batch.column(0).to_numpy(), 16)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(1).take(pa.array(index))], ["cell", "n"])
+
+    full = fps.select("fp").mapInArrow(tidy("simhash", live), "cell long").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most // 66)
+    return full.mapInArrow(tidy("simhash", spread), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("cell")
+
+
+def fingerprint_links(fps: DataFrame, bits: int = BITS, most: int = MOST_IN_CELL) -> DataFrame:
+    """Links (a, b) between distinct fingerprints fps (fp long): of each cell, the least forest of its pairs that differ in few bits. Cells with more than `most` members are dealt over subcells."""
     if bits > MOST_BITS:
         raise ValueError(f"cells of one step bound at most {MOST_BITS} differing bits")
 
@@ -213,24 +261,39 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
                 index, cell = cells(fp[lo : lo + 20_000].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp[lo : lo + 20_000][index])], ["cell", "fp"])
 
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 20_000):
+                cell, fp = (batch.column(k).to_numpy()[lo : lo + 20_000] for k in (0, 1))
+                index, sub = subcells(cell, fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(cell[index]), pa.array(sub), pa.array(fp[index])], ["cell", "sub", "fp"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64)] * 3
 
-        def links(cell, fp):
-            a, b = linked_in_cells(cell, fp.view(np.uint64), bits)
+        def links(cell, sub, fp):
+            a, b = linked_in_cells(cell, fp.view(np.uint64), bits, sub)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            cell, fp = np.concatenate([cell, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy()])
-            whole = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on
+            held = [np.concatenate([x, c.to_numpy()]) for x, c in zip(held, batch.columns, strict=True)]
+            cell, sub, _ = held
+            # The last cell may go on.
+            whole = int(np.flatnonzero((cell != cell[-1]) | (sub != sub[-1]))[-1]) + 1 if len(cell) and (cell[0] != cell[-1] or sub[0] != sub[-1]) else 0
             if whole:
-                yield links(cell[:whole], fp[:whole])
-                cell, fp = cell[whole:], fp[whole:]
-        if len(cell):
-            yield links(cell, fp)
+                yield links(*(x[:whole] for x in held))
+                held = [x[whole:] for x in held]
+        if len(held[0]):
+            yield links(*held)
 
     visits = fps.select("fp").mapInArrow(tidy("simhash", visit), "cell long, fp long")
-    met = visits.repartition(partitions(fps.sparkSession), "cell").sortWithinPartitions("cell", "fp")
+    full = written(crowded(fps, most))
+    if full.isEmpty():
+        dealt = visits.select("cell", F.lit(0).cast("long").alias("sub"), "fp")
+    else:
+        divided = visits.join(full, "cell", "left_semi").mapInArrow(tidy("simhash", divide), "cell long, sub long, fp long")
+        dealt = visits.join(full, "cell", "left_anti").select("cell", F.lit(0).cast("long").alias("sub"), "fp").unionByName(divided)
+    met = dealt.repartition(partitions(fps.sparkSession), "cell", "sub").sortWithinPartitions("cell", "sub", "fp")
     return met.mapInArrow(tidy("simhash", meet), "a long, b long")
 
 

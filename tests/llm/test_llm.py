@@ -299,6 +299,13 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_short_documents_leave_little_padding(spark):
+    rows = [(i, f"word {i % 97}") for i in range(30_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), queries.tokenizer_path()).groupBy("sequence_id").sum("length").collect()
+    total = sum(r[1] for r in got)
+    assert len(got) <= 1.05 * total / packing.CAPACITY + 2 and max(r[1] for r in got) <= packing.CAPACITY
+
+
 def test_simhash(docs, empty):
     got = simhash.near_duplicates(docs).collect()
     rows = texts_by_row()
@@ -333,6 +340,27 @@ def test_cells_lose_no_pair():
         assert np.array_equal(simhash.forest(len(fp), a, b), simhash.forest(len(fp), at(x), at(y)))
 
 
+def test_crowded_cells_are_divided(spark):
+    """The same classes whether cells are divided or not, and as brute force finds them."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 6, dtype=np.int64).astype(np.uint64)
+    fp = [base]
+    for _ in range(400):
+        x = base.copy()
+        for b in rng.choice(64, rng.integers(1, 8), replace=False):
+            x ^= np.uint64(1) << np.uint64(b)
+        fp.append(x)
+    fp = np.unique(np.concatenate(fp))
+    a, b = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4, 1))
+    want = simhash.forest(len(fp), a, b)
+    table = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long").repartition(3)
+    assert simhash.crowded(table, 60).count() > 5
+    for most in (60, 10**6):
+        links = simhash.fingerprint_links(table, 4, most).collect()
+        at = {int(x): i for i, x in enumerate(fp.view(np.int64))}
+        assert np.array_equal(want, simhash.forest(len(fp), np.array([at[r.a] for r in links]), np.array([at[r.b] for r in links])))
+
+
 def test_links_of_a_group_stay_linear():
     """Near fingerprints share dozens of cells; each link is given once, and few besides a forest of the group."""
     rng = np.random.default_rng(4)
