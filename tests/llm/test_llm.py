@@ -101,7 +101,7 @@ def test_toxicity_held_out(spark, docs, empty):
     assert {r.doc_id for r in toxicity.without_toxic(table, model).collect()} == {i for i in got if not got[i].predicted}
     odd = toxicity.scored(docs, model)
     assert odd.count() == docs.count() and all(r.score < 0.7 for r in odd.collect())
-    assert toxicity.scored(empty, model).count() == 0 and toxicity.fit(empty, marks).score({}) == (150 / 900 and toxicity.fit(empty, marks).silent, [])
+    assert toxicity.scored(empty, model).count() == 0 and toxicity.fit(empty, marks).score({})[1] == []
 
 
 def test_toxicity_search_is_exact():
@@ -121,6 +121,55 @@ def test_toxicity_search_is_exact():
         assert np.allclose(c, np.sort(want)[::-1][:15]) and np.allclose(want[e], c)
 
 
+def test_toxicity_scores_are_those_of_brute_force(spark):
+    """Every score of a table from dense vectors of all examples: cosines, the nearest, their votes, the calibration."""
+    sf = "/root/testdata/sf0.01"
+    docs = queries.table(spark, sf, "documents")
+    model = toxicity.fit(queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels"))
+    again = toxicity.fit(queries.table(spark, sf, "documents").repartition(7), queries.table(spark, sf, "labels").repartition(5))
+    assert model.numbers == again.numbers and np.array_equal(model.doc, again.doc) and np.array_equal(model.value, again.value)
+    dense = np.zeros((model.index.n, len(model.idf)))
+    for t in range(len(model.idf)):
+        part = slice(model.index.start[t], model.index.start[t + 1])
+        dense[model.index.example[part], t] = model.index.weight[part]
+    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    scored = 0
+    for r in docs.collect():
+        counts = collections.Counter()
+        for w in (r.text or "").split():
+            for t in toxicity.terms_of(w):
+                if t in model.numbers:
+                    counts[model.numbers[t]] += 1
+        row = got[r.doc_id]
+        if not counts:
+            assert row.score == model.silent and not row.evidence
+            continue
+        scored += 1
+        q = np.zeros(len(model.idf))
+        for t, n in counts.items():
+            q[t] = (1 + np.log(n)) * model.idf[t]
+        cosines = dense @ (q / np.linalg.norm(q))
+        nearest = np.lexsort((np.arange(len(cosines)), -np.round(cosines, 12)))[: toxicity.K]
+        nearest = nearest[cosines[nearest] > 0]
+        votes = cosines[nearest] ** 2 * model.class_weight[model.toxic[nearest]]
+        share = (votes * model.toxic[nearest]).sum() / (votes.sum() + toxicity.DOUBT * model.class_weight[1])
+        pool = min(np.searchsorted(model.upto, share - 1e-12), len(model.value) - 1)
+        top = model.value[pool + 1] if pool + 1 < len(model.value) else 1.0
+        assert model.value[pool] - 1e-9 <= row.score <= model.value[pool] + 0.1 * (top - model.value[pool]) + 1e-9
+        assert np.allclose([e.cosine for e in row.evidence], cosines[nearest[: toxicity.EVIDENCE]])
+    assert scored
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i, "prose " * 5 + ("vileX " if i % 3 == 0 else "calm ") * 3 + f"w{i}") for i in range(240)]
+    table = spark.createDataFrame([*rows, (3, "another text of three"), (None, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.fit(table, marks)
+    assert len(set(model.doc.tolist())) == len(model.doc)
+    got = table.select(toxicity.in_training(F.col("doc_id")).alias("t")).collect()
+    assert all(r.t is not None for r in got) and toxicity.scored(table, model).count() == 242
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.scored(docs, toxicity.fit(docs, none)).collect()} == {0.0}
