@@ -37,6 +37,8 @@ class Query:
     max_ele: float | None = None
     ferrata: bool = True
     with_ids: bool = False
+    #: Whether tours list their legs; totals and huts are there in any case.
+    with_legs: bool = True
     allowed: DataFrame | None = field(default=None, compare=False)
     #: (hut_id, night, free): a missing row is unknown and passes.
     beds: DataFrame | None = field(default=None, compare=False)
@@ -105,7 +107,7 @@ def search(query: Query, approaches: DataFrame, exits: DataFrame, adjacency: Dat
     kills.append(seeds.where("reason IS NOT NULL").select("reason"))
     layer = seeds.where("reason IS NULL").select(
         F.col("hut_id").alias("hut"), "start_id", F.array("hut_id").alias("path"), F.array("hut_id").alias("visited"), F.col("duration_h").alias("total_h"),
-        F.col("ascent_m").alias("total_ascent_m"), F.col("descent_m").alias("total_descent_m"), F.col("distance_m").alias("total_distance_m"), F.array(_leg()).alias("legs"),
+        F.col("ascent_m").alias("total_ascent_m"), F.col("descent_m").alias("total_descent_m"), F.col("distance_m").alias("total_distance_m"), *[F.array(_leg()).alias("legs")] * query.with_legs,
         F.col("leg_ids").alias("used"), F.col("suffix").alias("arrived"), F.col("prefix").alias("left_start"), F.array("hut_id", "edge_id").alias("ord"),
     )
     layer = _dominant(layer)
@@ -126,7 +128,7 @@ def search(query: Query, approaches: DataFrame, exits: DataFrame, adjacency: Dat
             closed = closed.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(overlaps(F.col("leg_ids"), exempt, F.col("used")), "track_overlap"))
         kills.append(closed.where("reason IS NOT NULL").select("reason"))
         finished.append(closed.where("reason IS NULL").select(
-            "start_id", "exit_start_id", F.col("path").alias("huts"), F.concat("legs", F.array(_leg())).alias("legs"), (F.col("total_h") + F.col("duration_h")).alias("total_h"),
+            "start_id", "exit_start_id", F.col("path").alias("huts"), *[F.concat("legs", F.array(_leg())).alias("legs")] * query.with_legs, (F.col("total_h") + F.col("duration_h")).alias("total_h"),
             (F.col("total_ascent_m") + F.col("ascent_m")).alias("total_ascent_m"), (F.col("total_descent_m") + F.col("descent_m")).alias("total_descent_m"),
             (F.col("total_distance_m") + F.col("distance_m")).alias("total_distance_m"), F.concat(F.array(F.lit(n).cast("long")), "ord", F.array("edge_id")).alias("place"),
         ))
@@ -144,7 +146,7 @@ def search(query: Query, approaches: DataFrame, exits: DataFrame, adjacency: Dat
         grown = grown.where("reason IS NULL").select(
             F.col("to_hut").alias("hut"), "start_id", F.concat("path", F.array("to_hut")).alias("path"), F.array_sort(F.concat("visited", F.array("to_hut"))).alias("visited"),
             (F.col("total_h") + F.col("duration_h")).alias("total_h"), (F.col("total_ascent_m") + F.col("ascent_m")).alias("total_ascent_m"), (F.col("total_descent_m") + F.col("descent_m")).alias("total_descent_m"),
-            (F.col("total_distance_m") + F.col("distance_m")).alias("total_distance_m"), F.concat("legs", F.array(_leg())).alias("legs"), (F.array_union("used", "leg_ids") if query.with_ids else F.col("used")).alias("used"),
+            (F.col("total_distance_m") + F.col("distance_m")).alias("total_distance_m"), *[F.concat("legs", F.array(_leg())).alias("legs")] * query.with_legs, (F.array_union("used", "leg_ids") if query.with_ids else F.col("used")).alias("used"),
             F.when(F.col("reversed"), F.col("prefix")).otherwise(F.col("suffix")).alias("arrived"), "left_start", F.concat("ord", F.array("leg_ord")).alias("ord"),
         )
         layer = _dominant(grown)

@@ -416,7 +416,7 @@ TOURS_SQL = "SELECT b.start_id, e.start_id AS exit_start_id, b.last, b.huts, ROU
 @query(TOURS_SQL, "start_record", "hut_edge", more=SEARCH_SQL.replace("{most}", "3"))
 def tour_search_basic(spark, sf_dir):
     """Tours of two to four legs between stations, legs of up to eight hours, any grade."""
-    tours, _ = _search(spark, sf_dir, search.Query(legs_max=4))
+    tours, _ = _search(spark, sf_dir, search.Query(legs_max=4, with_legs=False))
     return tours.select("start_id", "exit_start_id", F.element_at("huts", -1).alias("last"), F.array_join(F.array_sort("huts").cast("array<string>"), "-").alias("huts"), r6("total_h"))
 
 
@@ -445,20 +445,20 @@ def tour_search_ranked(spark, sf_dir):
 
 @query(None)
 def tour_search_overlap(spark, sf_dir):
-    tours, _ = _search(spark, sf_dir, search.Query(legs_max=4, with_ids=True), ids=True)
+    tours, _ = _search(spark, sf_dir, search.Query(legs_max=4, with_ids=True, with_legs=False), ids=True)
     return tours.select("start_id", "exit_start_id", F.array_join(F.col("huts").cast("array<string>"), ">").alias("huts"), r6("total_h"))
 
 
 @query(None)
 def similar_suppressed(spark, sf_dir):
-    tours, _ = _search(spark, sf_dir, search.Query(legs_max=4))
-    kept = search.without_similar(search.without_reverse_pairs(tours).drop("seen", "legs"), "per_start")
+    tours, _ = _search(spark, sf_dir, search.Query(legs_max=4, with_legs=False))
+    kept = search.without_similar(search.without_reverse_pairs(tours).drop("seen"), "per_start")
     return kept.select("start_id", "exit_start_id", F.array_join(F.col("huts").cast("array<string>"), ">").alias("huts"), r6("total_h"))
 
 
 @query(None)
 def tour_search_car(spark, sf_dir):
-    tours, _ = _search(spark, sf_dir, search.Query(mode="car", legs_max=4))
+    tours, _ = _search(spark, sf_dir, search.Query(mode="car", legs_max=4, with_legs=False))
     return tours.select("start_id", "exit_start_id", F.array_join(F.col("huts").cast("array<string>"), ">").alias("huts"), r6("total_h"))
 
 
