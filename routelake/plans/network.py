@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from routelake.fixtures import view, with_views
 from routelake.functions import geo
-from routelake.operators import app, graph, legs, search, spatial, study
+from routelake.operators import analysis, app, graph, legs, search, spatial, study
 from routelake.plans.more import EDGES
-from routelake.plans.queries import BOX, CELL_SQL, CHAIN_SQL, FACTS_SQL, LEGS_SQL, MASK_SQL, MATRIX_SQL, ORACLES, SEARCH_SQL, TABLE_SQL, POINTS_SQL, TILE_KM, TOURLIKE_SQL, VARIANT_SQL, _facts, _huts, _scarce, _tourlike, din, query, r6
+from routelake.plans.queries import BOX, CELL_SQL, CHAIN_SQL, FACTS_SQL, LEGS_SQL, MASK_SQL, MATRIX_SQL, ORACLES, SEARCH_SQL, TABLE_SQL, PAIR_M, POINTS_SQL, TILE_KM, TOURLIKE_SQL, VARIANT_SQL, _facts, _huts, _scarce, _tourlike, din, hav, query, r6
 
 # The app's joins
 
@@ -179,6 +179,50 @@ def range_circles(spark, sf_dir):
     return h.select("hub_id", F.posexplode(geo.circle_ring(F.col("lon"), F.col("lat"), 30.0)).alias("k", "p")).select("hub_id", "k", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 
+@query(
+    f"SELECT start_id, hub_type, hub_id FROM (SELECT s.hub_id AS start_id, h.hub_type, h.hub_id, ROW_NUMBER() OVER (PARTITION BY s.hub_id ORDER BY h.hub_type <> 0, {hav('s.lon', 's.lat', 'h.lon', 'h.lat')}, h.hub_type, h.hub_id) AS k FROM hub s JOIN hub h ON s.hub_type = 1 AND h.hub_type IN (0, 3) WHERE {hav('s.lon', 's.lat', 'h.lon', 'h.lat')} <= {PAIR_M}) n WHERE k = 1",
+    "hub",
+)
+def nearest_hub_huts_first(spark, sf_dir):
+    """The hut nearest to each station, or where none is in range the nearest partner."""
+    h = view(spark, sf_dir, "hub")
+    others = h.where("hub_type IN (0, 3)").select("hub_type", F.col("hub_id").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    order = [F.col("hub_type") != 0, F.col("distance_m"), F.col("hub_type"), F.col("other")]
+    return spatial.nearest(h.where("hub_type = 1").select(F.col("hub_id").alias("start_id"), "lon", "lat"), others, PAIR_M, ["start_id"], order).select("start_id", "hub_type", F.col("other").alias("hub_id"))
+
+
+@query("SELECT tour, CAST(i - 1 AS INT) AS leg, huts[i] AS prev, huts[i + 1] AS next FROM (SELECT tour, huts, UNNEST(range(1, len(huts))) AS i FROM tours) t", more=TOURLIKE_SQL)
+def trip_stops(spark, sf_dir):
+    chains = _tourlike(spark, sf_dir).where("size(huts) > 1").select(F.col("tour").alias("edge_id"), F.element_at("huts", 1).alias("u_point"), F.element_at("huts", -1).alias("v_point"), F.slice("huts", F.lit(2), F.size("huts") - 2).alias("interior"))
+    return graph.raw_segments(chains).select(F.col("edge_id").alias("tour"), F.col("pos").alias("leg"), F.col("a").alias("prev"), F.col("b").alias("next"))
+
+
+@query("SELECT tier, CAST(row0 AS INT) AS row, CAST(col0 AS INT) AS col, value FROM (SELECT 0 AS tier, hub_id % 9 AS row0, hub_id % 11 AS col0, MIN(CASE WHEN hub_type = 0 THEN lon END) AS a, MIN(CASE WHEN hub_type = 2 THEN lat END) AS b FROM hub GROUP BY 2, 3) m, LATERAL (SELECT COALESCE(b, a) AS value) v WHERE value IS NOT NULL", "hub")
+def raster_mosaic(spark, sf_dir):
+    """Two overlapping rasters, the later of which wins where it has values."""
+    h, cell = view(spark, sf_dir, "hub"), lambda c: c.cast("int")
+    part = lambda t, rank, value: h.where(F.col("hub_type") == t).groupBy(cell(F.col("hub_id") % 9).alias("row"), cell(F.col("hub_id") % 11).alias("col")).agg(F.min(value).alias("value")).withColumn("priority", F.lit(rank))
+    return spatial.mosaic(part(0, 0, "lon").unionByName(part(2, 1, "lat"))).select(F.lit(0).alias("tier"), "row", "col", "value")
+
+
+@query(
+    "SELECT COUNT(*) AS edges, ROUND(SUM(total_m) / 1000, 3) AS total_km, ROUND(SUM(explicit_m) / 1000, 3) AS explicit_km, ROUND(SUM(ungraded_m) / 1000, 3) AS ungraded_km, COUNT(*) FILTER (WHERE ungraded_m <= 0) AS fully_graded, ROUND(QUANTILE_CONT(ungraded_m / GREATEST(total_m, 1.0), 0.5), 6) AS median FROM lines",
+    "hut_edge",
+    more="lines AS (SELECT distance_m AS total_m, distance_m * (edge_id % 3) / 3 AS explicit_m, CASE WHEN edge_id % 3 = 2 THEN 0 ELSE distance_m / 3 END AS ungraded_m FROM hut_edge)",
+)
+def attribution_totals(spark, sf_dir):
+    e, k = view(spark, sf_dir, "hut_edge"), F.col("edge_id") % 3
+    zero = F.lit(0.0)
+    lines = e.select(F.col("distance_m").alias("total_m"), (F.col("distance_m") * k / 3).alias("explicit_m"), zero.alias("inferred_m"), F.when(k == 2, 0.0).otherwise(F.col("distance_m") / 3).alias("ungraded_m"), zero.alias("excluded_m"), zero.alias("unmatched_m"))
+    got = analysis.attribution_summary(lines)
+    return got.select("edges", *[F.round(c, 3).alias(c) for c in ("total_km", "explicit_km", "ungraded_km")], "fully_graded", F.round(F.col("ungraded_share")[analysis.PERCENTILES[2:].index(0.5)], 6).alias("median"))
+
+
+@query("SELECT status, COUNT(*) AS days, COUNT(*) FILTER (WHERE free_place <= 15) AS scarce FROM hut_day GROUP BY status", "hut_day")
+def status_counts(spark, sf_dir):
+    return view(spark, sf_dir, "hut_day").groupBy("status").agg(F.count("*").alias("days"), F.count_if(F.col("free_place") <= 15).alias("scarce"))
+
+
 # Study
 
 
@@ -244,3 +288,10 @@ ORACLES["trim_checks"] = with_views(
     "hut_edge",
     more=POINTS_SQL,
 )
+BEST_SQL = f"b AS (SELECT hut_id, start_id, start_type, edge_id, h FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY hut_id, start_id ORDER BY variant <> 0, h, edge_id) AS k FROM (SELECT *, {din()} AS h FROM start_record) r) o WHERE k = 1), x AS (SELECT hut_id, start_id, start_type, edge_id, h FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY hut_id, start_id ORDER BY h, edge_id) AS k FROM (SELECT *, {din('distance_m', 'descent_m', 'ascent_m')} AS h FROM start_record WHERE variant = 0) r) o WHERE k = 1), f AS (SELECT a, b, edge_id, reversed, h FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a, b ORDER BY h, edge_id * 2 + CAST(reversed AS INT)) AS k FROM (SELECT from_id AS a, to_id AS b, edge_id, FALSE AS reversed, {din()} AS h FROM hut_edge UNION ALL SELECT to_id, from_id, edge_id, TRUE, {din('distance_m', 'descent_m', 'ascent_m')} FROM hut_edge) r) o WHERE k = 1)"
+ORACLES["trip_leg_table"] = with_views(
+    "SELECT trip_id, CAST(0 AS INT) AS leg, 'start' AS kind, b.edge_id, CASE WHEN b.edge_id IS NOT NULL THEN FALSE END AS reversed, ROUND(b.h, 6) AS duration_h FROM trips t LEFT JOIN b ON b.hut_id = t.huts[1] AND b.start_id = t.start_id AND b.start_type = t.start_type UNION ALL SELECT trip_id, CAST(len(huts) AS INT), 'exit', x.edge_id, CASE WHEN x.edge_id IS NOT NULL THEN TRUE END, ROUND(x.h, 6) FROM trips t LEFT JOIN x ON x.hut_id = t.huts[len(t.huts)] AND x.start_id = t.exit_id AND x.start_type = t.start_type UNION ALL SELECT trip_id, CAST(i AS INT), 'hut', f.edge_id, f.reversed, ROUND(f.h, 6) FROM (SELECT trip_id, huts, UNNEST(range(1, len(huts))) AS i FROM trips) s LEFT JOIN f ON f.a = s.huts[i] AND f.b = s.huts[i + 1]",
+    "start_record",
+    "hut_edge",
+    more=LEGS_SQL + ", " + BEST_SQL,
+)
