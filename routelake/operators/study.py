@@ -177,8 +177,10 @@ def placebo(a: DataFrame, pool: DataFrame) -> DataFrame:
 
 def matched(rows: DataFrame, outcome: str, variables: list[str], k: int = 3) -> DataFrame:
     """(id, diff, n): treated rows (id, treated, grp) against the mean of their k nearest untreated ones of the same group, by standardised variables."""
-    z = {f"z{i}": (F.col(v) - F.avg(v).over(Window.partitionBy())) / F.coalesce(F.nullif(F.stddev_pop(v).over(Window.partitionBy()), F.lit(0.0)), F.lit(1.0)) for i, v in enumerate(variables)}
-    scored = rows.withColumns(z)
+    spread = lambda v: F.coalesce(F.nullif(F.stddev_pop(v), F.lit(0.0)), F.lit(1.0))
+    scale = rows.agg(*[f(v).alias(f"{n}{i}_") for i, v in enumerate(variables) for n, f in (("mean", F.avg), ("sd", spread))])
+    z = {f"z{i}": (F.col(v) - F.col(f"mean{i}_")) / F.col(f"sd{i}_") for i, v in enumerate(variables)}
+    scored = rows.join(F.broadcast(scale)).withColumns(z)  # one row of means and spreads
     a = scored.where("treated = 1").select("id", "grp", F.col(outcome).alias("out_a"), *[F.col(c).alias(f"{c}a") for c in z])
     b = scored.where("treated = 0").select(F.col("id").alias("other"), "grp", F.col(outcome).alias("out_b"), *[F.col(c).alias(f"{c}b") for c in z])
     d2 = sum((F.pow(F.col(f"{c}a") - F.col(f"{c}b"), F.lit(2)) for c in z), F.lit(0.0))
