@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from routelake.fixtures import view, with_views
 from routelake.functions import geo
-from routelake.operators import analysis, app, graph, legs, search, spatial, study
+from routelake.operators import analysis, app, graph, legs, mapping, polyline, search, spatial, study
+from routelake.sources import io
 from routelake.plans.more import EDGES
 from routelake.plans.queries import BOX, CELL_SQL, CHAIN_SQL, FACTS_SQL, LEGS_SQL, MASK_SQL, MATRIX_SQL, ORACLES, SEARCH_SQL, TABLE_SQL, PAIR_M, POINTS_SQL, TILE_KM, TOURLIKE_SQL, VARIANT_SQL, _facts, _huts, _scarce, _tourlike, din, hav, query, r6
 
@@ -223,6 +224,55 @@ def status_counts(spark, sf_dir):
     return view(spark, sf_dir, "hut_day").groupBy("status").agg(F.count("*").alias("days"), F.count_if(F.col("free_place") <= 15).alias("scarce"))
 
 
+NODE_SQL = "node AS (SELECT hub_id AS node_id, lon + 0.0004 * (hub_id % 5) AS lon, lat, 1000.0 + (hub_id * 17) % 60 AS ele FROM hub WHERE hub_type = 0)"
+
+
+@query(
+    f"SELECT hub_id, CASE WHEN reason IS NULL THEN 'node' ELSE 'rejected' END AS kind, node_id, ROUND(gap, 3) AS gap_m, dz AS dz_m, reason FROM (SELECT *, CASE WHEN node_id IS NULL THEN 'gap_too_far' WHEN ABS(dz) > 25 THEN 'vertical_offset' END AS reason FROM (SELECT h.hub_id, n.node_id, n.gap, n.ele - 1020.0 AS dz, ROW_NUMBER() OVER (PARTITION BY h.hub_id ORDER BY n.gap, n.node_id) AS k FROM hub h LEFT JOIN (SELECT b.hub_id, a.*, {hav('b.lon', 'b.lat', 'a.lon', 'a.lat')} AS gap FROM node a JOIN hub b ON b.hub_type = 0 AND {hav('b.lon', 'b.lat', 'a.lon', 'a.lat')} <= 100) n ON n.hub_id = h.hub_id WHERE h.hub_type = 0) o WHERE k = 1) s",
+    "hub",
+    more=NODE_SQL,
+)
+def hub_snaps(spark, sf_dir):
+    """Huts on the nodes beside them, of which some lie too far off or too high."""
+    h, k = view(spark, sf_dir, "hub").where("hub_type = 0"), F.col("hub_id")
+    nodes = h.select(k.alias("node_id"), (F.col("lon") + 0.0004 * (k % 5)).alias("lon2"), F.col("lat").alias("lat2"), (1000.0 + (k * 17) % 60).alias("ele2"))
+    segments = spark.createDataFrame([], "edge_id long, seg int, lon_a double, lat_a double, lon_b double, lat_b double, ele_a double, ele_b double")
+    return spatial.snap(h.select("hub_type", "hub_id", "lon", "lat", F.lit(1020.0).cast("double").alias("ele")), nodes, segments).select("hub_id", "kind", "node_id", F.round("gap_m", 3).alias("gap_m"), "dz_m", "reason")
+
+
+@query(
+    "SELECT edge_id AS tour_id, ROUND(a.lon + (b.lon - a.lon) * t, 6) AS lon, ROUND(a.lat + (b.lat - a.lat) * t, 6) AS lat, CASE WHEN b.lon < a.lon THEN 'west' ELSE 'east' END AS heading, CAST(r AS INT) AS rank FROM hut_edge JOIN hub a ON a.hub_type = 0 AND a.hub_id = from_id JOIN hub b ON b.hub_type = 0 AND b.hub_id = to_id CROSS JOIN (VALUES (0.25::DOUBLE, 2), (0.5::DOUBLE, 1), (0.75::DOUBLE, 3)) f(t, r)",
+    "hut_edge",
+    "hub",
+)
+def leg_anchor_points(spark, sf_dir):
+    """Anchors of single legs along their chords."""
+    h = view(spark, sf_dir, "hub").where("hub_type = 0")
+    end = lambda name: h.select(F.col("hub_id").alias(f"{name}_id"), F.col("lon").alias(f"{name}_lon"), F.col("lat").alias(f"{name}_lat"))
+    e = view(spark, sf_dir, "hut_edge").join(end("from"), "from_id").join(end("to"), "to_id")
+    rows = e.select(F.col("edge_id").alias("tour_id"), F.lit(0).alias("leg"), "distance_m", F.lit(False).alias("reversed"), F.lit(None).cast("array<struct<lon: double, lat: double>>").alias("anchors"), "from_lon", "from_lat", "to_lon", "to_lat")
+    return mapping.anchors(rows, (0.0, 0.0, 90.0, 90.0)).select("tour_id", r6("lon"), r6("lat"), "heading", "rank")
+
+
+POLY = "region\n1\n 10.0 46.5\n 14.0 46.5\n 14.0 48.0\nEND\n!2\n 12.0 46.8\n 12.5 46.8\n 12.5 47.0\nEND\nEND\n"
+
+
+@query("SELECT x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM (VALUES (10.0, 46.5, 14.0, 46.5), (14.0, 46.5, 14.0, 48.0), (14.0, 48.0, 10.0, 46.5), (12.0, 46.8, 12.5, 46.8), (12.5, 46.8, 12.5, 47.0), (12.5, 47.0, 12.0, 46.8)) r(x1, y1, x2, y2)")
+def region_rings(spark, sf_dir):
+    return spark.createDataFrame(io.ring_edges(POLY), "x1 double, y1 double, x2 double, y2 double")
+
+
+@query("SELECT rec, CAST(SUM(m) AS BIGINT) AS len_m, COUNT(*) > 1 AS several FROM (SELECT rec, 100 + pos * 7 AS m FROM vertex) v GROUP BY rec", "vertex")
+def merged_runs(spark, sf_dir):
+    """Runs of at least 300 m out of short segments: the lengths are kept, and only the last run may be short."""
+    segs = F.transform(F.array_sort(F.collect_list(F.col("pos"))), lambda p: F.struct((100.0 + p * 7).alias("len"), F.lit(1.0).alias("dz")))
+    lines = view(spark, sf_dir, "vertex").groupBy("rec").agg(segs.alias("segs")).withColumn("n", F.size("segs"))
+    got = polyline.merged_segments(lines, 300.0)
+    sound = F.forall(F.slice("segs", F.lit(1), F.size("segs") - 1), lambda s: s["len"] >= 300)
+    total = F.aggregate("segs", F.lit(0.0), lambda a, s: a + s["len"])
+    return got.where(sound).select("rec", total.cast("long").alias("len_m"), (F.col("n") > 1).alias("several"))
+
+
 # Study
 
 
