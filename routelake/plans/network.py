@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from routelake.fixtures import view, with_views
@@ -10,7 +9,7 @@ from routelake.functions import geo
 from routelake.operators import analysis, app, graph, legs, mapping, polyline, search, spatial, study
 from routelake.sources import io
 from routelake.plans.more import EDGES
-from routelake.plans.queries import BOX, CELL_SQL, CHAIN_SQL, FACTS_SQL, LEGS_SQL, MASK_SQL, MATRIX_SQL, ORACLES, SEARCH_SQL, TABLE_SQL, PAIR_M, POINTS_SQL, TILE_KM, TOURLIKE_SQL, VARIANT_SQL, _facts, _huts, _scarce, _tourlike, din, hav, query, r6
+from routelake.plans.queries import BOX, CELL_SQL, CHAIN_SQL, FACTS_SQL, LEGS_SQL, MASK_SQL, ORACLES, SEARCH_SQL, PAIR_M, POINTS_SQL, TILE_KM, TOURLIKE_SQL, VARIANT_SQL, _facts, _huts, _scarce, _tourlike, din, hav, query, r6
 
 # The app's joins
 
