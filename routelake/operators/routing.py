@@ -7,6 +7,7 @@ its shortest distance is within the limit; the stored way is the one of least ti
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,14 +16,19 @@ from pyspark.sql import functions as F
 PATHS = "variant int, source long, target long, distance_m double, time_s double, ascent_m double, descent_m double, max_rank int, via_ferrata boolean, edge_ids array<long>, nodes array<long>"
 
 
-def shortest(links: dict, source: int, weight: int, limit: float = float("inf")) -> tuple[dict, dict]:
-    """(least weight, link into each node) from a source; links: node to (neighbour, weights…, place)."""
+def shortest(links: dict, source: int, weight: int, limit: float = float("inf"), wanted: Iterable[int] | None = None) -> tuple[dict, dict]:
+    """(least weight, link into each node) from a source; links: node to (neighbour, weights…, place). With wanted nodes the walk ends when all of them are settled; what it says of others may not be final."""
     best, into, done, heap = {source: 0.0}, {}, set(), [(0.0, source)]
+    left = None if wanted is None else set(wanted)
     while heap:
         d, node = heapq.heappop(heap)
         if node in done:
             continue
         done.add(node)
+        if left is not None:
+            left.discard(node)
+            if not left:
+                break
         for link in links.get(node, ()):
             far = d + link[weight]
             if far <= limit and far < best.get(link[0], float("inf")):
@@ -42,13 +48,13 @@ def _kernel(limit_m: float):
             up = (e.ascent_m, e.descent_m, int(e.sac_rank), bool(e.via_ferrata), int(e.edge_id))
             links.setdefault(e.u, []).append((e.v, e.length_m, e.time_s, *up))
             links.setdefault(e.v, []).append((e.u, e.length_m, e.time_s, up[1], up[0], *up[2:]))
-        targets = sorted(hubs["node"].unique())
+        targets = set(hubs["node"])
         for source in sorted(hubs.loc[hubs["is_hut"], "node"].unique()):
             near, _ = shortest(links, source, 1, limit_m)
-            wanted = [t for t in targets if t != source and t in near]
+            wanted = sorted(t for t in near if t != source and t in targets)
             if not wanted:
                 continue
-            times, into = shortest(links, source, 2)
+            times, into = shortest(links, source, 2, wanted=wanted)
             for t in wanted:
                 path, node = [], t
                 while node != source:
@@ -66,8 +72,9 @@ def _kernel(limit_m: float):
 
 def hub_paths(edges: DataFrame, hubs: DataFrame, limit_m: float) -> DataFrame:
     """Ways between hubs (cell_id, node, is_hut) over edges (cell_id, variant, edge_id, u, v, length_m, time_s, ascent_m, descent_m, sac_rank, via_ferrata), by cell and variant."""
-    present = edges.groupBy("cell_id").agg(F.collect_set("variant").alias("variants"))
-    each = hubs.join(present, "cell_id").select("cell_id", F.explode("variants").alias("variant"), "node", "is_hut")
+    ends = edges.select("cell_id", F.col("variant").alias("variant"), F.explode(F.array("u", "v")).alias("node")).distinct()
+    # Merged, as the size of hubs that are dealt over cells is not known beforehand; a hub without an edge has no way.
+    each = hubs.hint("merge").join(ends, ["cell_id", "node"]).select("cell_id", "variant", "node", "is_hut")
     return edges.groupBy("cell_id", "variant").cogroup(each.groupBy("cell_id", "variant")).applyInPandas(_kernel(limit_m), PATHS)
 
 
