@@ -6,6 +6,8 @@ variant, edge_id, duration_h), the exits walked from the hut; adjacency holds di
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,17 +76,35 @@ def extend_candidates(trips: DataFrame, adjacency: DataFrame, approaches: DataFr
     return found.join(ok, "seq_id", "left_semi").select("trip_id", F.col("to_id").alias("hut_id"), F.col("duration_h").alias("leg_h"))
 
 
-def trim_checks(trips: DataFrame, adjacency: DataFrame, approaches: DataFrame, exits: DataFrame, variant: int) -> DataFrame:
-    """(trip_id, pos, ok, reason): may a stop be left out?"""
-    each = trips.select("*", F.posexplode("huts").alias("pos", "hut")).withColumn("n", F.size("huts"))
-    each = each.withColumns({"prev": F.get("huts", F.col("pos") - 1), "next": F.get("huts", F.col("pos") + 1), "seq_id": F.struct("trip_id", "pos")})
-    rest = each.withColumn("huts", F.filter("huts", lambda h, i: i != F.col("pos")))
-    reach = connected(rest.where("n > 1").select("seq_id", "start_type", "start_id", "exit_id", "huts"), approaches, exits, variant).select("seq_id", F.lit(True).alias("reached"))
+def trim_checks(trips: DataFrame, adjacency: DataFrame, starts: DataFrame) -> DataFrame:
+    """(trip_id, pos, ok, reason): may a stop be left out? starts: (start_id, start_type, huts, exits), a row a start: the huts that it leads to under any variant, and those with a way back under the variant asked for.
+
+    An inner stop may go if its neighbours are linked, an end if the rest can still be reached. Only whether that is so counts, so no legs are listed: by car, each start gives its huts to the huts it has a way back from, where they meet the first huts that are asked for."""
+    from routelake.plans.lineage import cut
+
+    starts = cut(starts)
+    n, pos = F.size("huts"), F.col("pos")
+    each = trips.select("trip_id", n.alias("n"), F.posexplode("huts").alias("pos", "hut"), "huts")
+    alone = each.where("n = 1").withColumn("reason", F.lit("last_hut"))
+    middle = each.where((pos > 0) & (pos < F.col("n") - 1)).select("trip_id", "pos", F.get("huts", pos - 1).alias("prev"), F.get("huts", pos + 1).alias("next"))
     links = adjacency.select(F.col("from_id").alias("prev"), F.col("to_id").alias("next"), F.lit(True).alias("linked")).distinct()
-    out = each.join(reach, "seq_id", "left").join(links, ["prev", "next"], "left")
-    inner = F.col("prev").isNotNull() & F.col("next").isNotNull()
-    reason = F.when(F.col("n") <= 1, "last_hut").when(inner & F.col("linked").isNull(), "no_link").when(~inner & F.col("reached").isNull(), "no_ends")
-    return out.select("trip_id", "pos", reason.isNull().alias("ok"), reason.alias("reason"))
+    middle = middle.join(links, ["prev", "next"], "left").withColumn("reason", F.when(F.col("linked").isNull(), "no_link"))
+
+    without = lambda at, first, last: F.struct(at.alias("pos"), F.get("huts", first).alias("first"), F.get("huts", last).alias("last"))
+    ends = trips.where(n > 1).select("trip_id", "start_type", F.explode(F.array(without(F.lit(0), F.lit(1), n - 1), without(n - 1, F.lit(0), n - 2))).alias("e")).select("trip_id", "start_type", "e.*")
+    by_car = mode_of(F.col("start_type")) == "car"
+    cars = ends.where(by_car).select("trip_id", "pos", "first", "last", F.col("start_type").alias("kind"))
+    asked = cars.groupBy("kind", "last").agg(F.collect_set("first").alias("asked"))
+    given = starts.where(by_car).select(F.col("start_type").alias("kind"), F.explode("exits").alias("last"), F.col("huts").alias("given"))
+    met = given.join(asked, ["kind", "last"]).select("kind", "last", F.explode(F.array_intersect("asked", "given")).alias("first"), F.lit(True).alias("reached")).distinct()
+    cars = cars.join(met, ["kind", "first", "last"], "left")
+
+    types = lambda huts, side: starts.where(~by_car).select("start_type", F.explode(huts).alias(side)).groupBy(side).agg(F.collect_set("start_type").alias(f"{side}_types"))
+    # A row a hut each.
+    others = ends.where(~by_car).join(F.broadcast(types("huts", "first")), "first", "left").join(F.broadcast(types("exits", "last")), "last", "left")
+    others = others.withColumn("reached", F.when(F.array_contains("first_types", F.col("start_type")) & F.array_contains("last_types", F.col("start_type")), True))
+    out = [alone, middle] + [x.withColumn("reason", F.when(F.col("reached").isNull(), "no_ends")) for x in (cars, others)]
+    return reduce(DataFrame.unionByName, [x.select("trip_id", "pos", F.col("reason").isNull().alias("ok"), "reason") for x in out])
 
 
 def endpoint_candidates(trips: DataFrame, approaches: DataFrame, exits: DataFrame, variant: int, which: str = "start") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from routelake.operators import routing
+from routelake.operators import routing, trip
 
 EDGE = "cell_id int, variant int, edge_id long, u long, v long, length_m double, time_s double, ascent_m double, descent_m double, sac_rank int, via_ferrata boolean"
 
@@ -28,3 +28,39 @@ def test_a_walk_ends_with_its_wanted_nodes():
     best, into = routing.shortest(links, 1000, 2, wanted=[1003, 998])
     assert len(best) < 50 and all(best[t] == whole[t] for t in (1003, 998))
     assert into[1003][0] == 1002
+
+
+def test_trim_checks_build_no_network_tables(spark, sf, tmp_path):
+    from routelake import fixtures
+    from routelake.plans.queries import QUERIES
+
+    link = tmp_path / "sf"
+    link.symlink_to(sf)
+    got = QUERIES["trim_checks"](spark, str(link))
+    assert got.count() == got.select("trip_id", "pos").distinct().count() > 0
+    assert not [k for k in fixtures._built if k[1] == str(link)]
+    fixtures.register(spark, sf)
+
+
+def test_trim_checks_against_plain_rules(spark):
+    rng = random.Random(8)
+    pairs = {(s, h): rng.random() < 0.3 for s in range(60) for h in rng.sample(range(12), 3)}
+    links = {(rng.randrange(12), rng.randrange(12)) for _ in range(20)}
+    trips = [(t, 1 + t % 3, t, sorted(rng.sample(range(12), rng.randint(1, 5)))) for t in range(300)]
+    rows = [(s, 1 + s % 3, [h for (x, h) in pairs if x == s], [h for (x, h), back in pairs.items() if x == s and back]) for s in range(60)]
+
+    def reason(kind, huts, pos):
+        if len(huts) == 1:
+            return "last_hut"
+        if 0 < pos < len(huts) - 1:
+            return None if (huts[pos - 1], huts[pos + 1]) in links else "no_link"
+        rest = huts[:pos] + huts[pos + 1 :]
+        a = {s for s in range(60) if 1 + s % 3 == kind and (s, rest[0]) in pairs}
+        b = {s for s in range(60) if 1 + s % 3 == kind and pairs.get((s, rest[-1]))}
+        return None if (a & b if kind == 2 else a and b) else "no_ends"
+
+    t = spark.createDataFrame([(t, k, s, s, h) for t, k, s, h in trips], "trip_id long, start_type int, start_id long, exit_id long, huts array<long>")
+    got = trip.trim_checks(t, spark.createDataFrame(sorted(links), "from_id long, to_id long"), spark.createDataFrame(rows, "start_id long, start_type int, huts array<long>, exits array<long>")).collect()
+    want = {(t, pos): reason(k, h, pos) for t, k, _, h in trips for pos in range(len(h))}
+    assert {(r.trip_id, r.pos): r.reason for r in got} == want and len(got) == len(want)
+    assert all(r.ok == (r.reason is None) for r in got) and {"no_link", "no_ends", "last_hut", None} <= set(want.values())
