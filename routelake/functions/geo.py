@@ -19,6 +19,11 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return 2 * EARTH_M * F.asin(F.when(root > 1, 1.0).otherwise(root))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A value of at least zero to so many digits, half up: a product, a floor and a quotient, as round() goes by way of text."""
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
 def metres(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
     """Local plane coordinates around (lon0, lat0)."""
     return (lon - lon0) * DEGREE_M * F.cos(F.radians(lat0)), (lat - lat0) * DEGREE_M

@@ -1,15 +1,17 @@
 """Plans and results that must hold when the tables outgrow a machine."""
 
+import math
 import random
 
-from routelake.operators import routing, trip
+from pyspark.sql import functions as F
+
+from routelake.functions import geo
+from routelake.operators import routing, spatial, trip
 
 EDGE = "cell_id int, variant int, edge_id long, u long, v long, length_m double, time_s double, ascent_m double, descent_m double, sac_rank int, via_ferrata boolean"
 
 
 def test_hubs_dealt_over_lots_are_not_broadcast(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(3)
     edges = [(0, v, 10 * i + v, *rng.sample(range(40), 2), 100.0 * rng.randint(1, 9), float(rng.randint(50, 900)), 5.0, 2.0, 1, False) for i in range(50) for v in (0, 2)]
     one = spark.createDataFrame(edges, EDGE)
@@ -64,3 +66,31 @@ def test_trim_checks_against_plain_rules(spark):
     want = {(t, pos): reason(k, h, pos) for t, k, _, h in trips for pos in range(len(h))}
     assert {(r.trip_id, r.pos): r.reason for r in got} == want and len(got) == len(want)
     assert all(r.ok == (r.reason is None) for r in got) and {"no_link", "no_ends", "last_hut", None} <= set(want.values())
+
+
+def _places(spark, n, seed, names):
+    rng = random.Random(seed)
+    return [(i, 9.5 + 7.5 * rng.random(), 46.4 + 2.1 * rng.random()) for i in range(n)], lambda rows: spark.createDataFrame(rows, names)
+
+
+def _metres(a, b):
+    p, q = math.radians(a[2]), math.radians(b[2])
+    return 2 * 6371000.0 * math.asin(math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2))
+
+
+def test_pairs_in_range_are_dealt_by_cell(spark):
+    left, one = _places(spark, 150, 1, "id long, lon double, lat double")
+    right, other = _places(spark, 200, 2, "other long, lon2 double, lat2 double")
+    want = {(a[0], b[0]): _metres(a, b) for a in left for b in right}
+    for radius in (30_000.0, 400_000.0):
+        for way in ({}, {"copy": "right"}, {"copy": "right", "fine": 2}, {"fine": 3}):
+            found = spatial.bucket_join(one(left), other(right), radius, **way)
+            assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+            got = {(r.id, r.other): r.distance_m for r in found.collect()}
+            assert got.keys() == {k for k, d in want.items() if d <= radius} and all(abs(d - want[k]) < 1e-6 for k, d in got.items())
+
+
+def test_rounded(spark):
+    values = [0.0, 0.0004, 0.00051, 12.3456, 19999.99949, 1234.5675]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "x double").select(geo.rounded(F.col("x"), 3).alias("x")).collect()]
+    assert got == [0.0, 0.0, 0.001, 12.346, 19999.999, math.floor(1234.5675 * 1000 + 0.5) / 1000]
