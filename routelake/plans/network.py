@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from routelake.fixtures import view, with_views
 from routelake.functions import geo
-from routelake.operators import analysis, app, grading, graph, legs, mapping, polyline, search, spatial, study
+from routelake.operators import analysis, app, graph, legs, mapping, polyline, search, spatial, study
 from routelake.sources import io
+from routelake.plans.lineage import cut
 from routelake.plans.more import EDGES
 from routelake.plans.queries import BOX, CELL_SQL, CHAIN_SQL, FACTS_SQL, LEGS_SQL, MASK_SQL, ORACLES, SEARCH_SQL, PAIR_M, POINTS_SQL, TILE_KM, TOURLIKE_SQL, VARIANT_SQL, _facts, _huts, _scarce, _tourlike, din, hav, query, r6
+from routelake.schema import HUT, PARTNER
 
 # The app's joins
 
@@ -186,10 +188,14 @@ def range_circles(spark, sf_dir):
 def nearest_hub_huts_first(spark, sf_dir):
     """The hut nearest to each station, or where none is in range the nearest partner."""
     h = view(spark, sf_dir, "hub")
-    others = h.where("hub_type IN (0, 3)").select("hub_type", F.col("hub_id").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    order = [F.col("hub_type") != 0, F.col("distance_m"), F.col("hub_type"), F.col("other")]
-    found = spatial.bucket_join(h.where("hub_type = 1").select(F.col("hub_id").alias("start_id"), "lon", "lat"), others, PAIR_M)
-    return grading.first_by_key(found, ["start_id"], order).select("start_id", "hub_type", F.col("other").alias("hub_id"))
+    stations = h.where("hub_type = 1").select(F.col("hub_id").alias("start_id"), "lon", "lat")
+
+    def found(points, kind):
+        others = h.where(F.col("hub_type") == kind).select("hub_type", F.col("hub_id").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+        return spatial.nearest(points, others, PAIR_M, ["start_id"], ["other"], copy="right").select("start_id", "hub_type", F.col("other").alias("hub_id"))
+
+    by_hut = cut(found(stations, HUT))
+    return by_hut.unionByName(found(stations.join(by_hut, "start_id", "left_anti"), PARTNER))
 
 
 @query("SELECT tour, CAST(i - 1 AS INT) AS leg, huts[i] AS prev, huts[i + 1] AS next FROM (SELECT tour, huts, UNNEST(range(1, len(huts))) AS i FROM tours) t", more=TOURLIKE_SQL)

@@ -110,3 +110,15 @@ def test_rounded(spark):
     values = [0.0, 0.0004, 0.00051, 12.3456, 19999.99949, 1234.5675]
     got = [r.x for r in spark.createDataFrame([(v,) for v in values], "x double").select(geo.rounded(F.col("x"), 3).alias("x")).collect()]
     assert got == [0.0, 0.0, 0.001, 12.346, 19999.999, math.floor(1234.5675 * 1000 + 0.5) / 1000]
+
+
+def test_partners_are_looked_for_only_where_no_hut_is(spark, sf, duck, monkeypatch):
+    from routelake.plans import network
+
+    asked, whole = [], spatial.nearest
+    monkeypatch.setattr(spatial, "nearest", lambda points, *a, **k: asked.append({r.start_id for r in points.collect()}) or whole(points, *a, **k))
+    got = {r.start_id: (r.hub_type, r.hub_id) for r in network.nearest_hub_huts_first(spark, sf).collect()}
+    want = {s: (t, h) for s, t, h in duck.execute(network.ORACLES["nearest_hub_huts_first"]).fetchall()}
+    assert got == want and {0, 3} == {t for t, _ in want.values()}
+    by_hut = {s for s, (t, _) in want.items() if t == 0}
+    assert len(asked) == 2 and by_hut < asked[0] and asked[1] == asked[0] - by_hut
